@@ -56,15 +56,16 @@ def release(spark: SparkSession) -> int:
     return len(mine)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds, so that long texts do not fill a Python worker.
+def arrow_limits(spark: SparkSession, rows: int = 1000, size: str = "32m") -> None:
+    """Bound what one Arrow batch holds, in rows and bytes, so that long texts do not fill a Python worker.
 
-    Values that the user has set lower stay as they are.
+    A lower number of rows that the user has set stays.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
