@@ -12,7 +12,6 @@ import hashlib
 import heapq
 import json
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,9 +26,11 @@ from .common import arrow_limits
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
-CACHE_ENTRIES = 400_000
+#: Chunks of a cache generation (there are two), and the longest chunk that is kept.
+CACHE_ENTRIES = 250_000
 CACHE_CHARS = 40
-BLOCK_CHARS = 2_000_000
+#: Characters whose chunks are encoded together.
+BLOCK_CHARS = 6_000_000
 
 
 def _byte_chars() -> dict[int, str]:
@@ -49,10 +50,13 @@ class PairIndexBPE:
             spec = json.load(f)
         model, chars = spec["model"], _byte_chars()
         back, vocab = {c: b for b, c in chars.items()}, model["vocab"]
-        self.byte_ids = [vocab[chars[b]] for b in range(256)]
+        self._byte_ids = np.array([vocab[chars[b]] for b in range(256)])
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pairs = [(vocab[a], vocab[b]) for a, b in merges]
-        self.rank = {p: r for r, p in enumerate(self.pairs)}
+        self._base = max(vocab.values()) + 1
+        keys = np.array([a * self._base + b for a, b in self.pairs], dtype=np.int64)
+        self._key_ranks = np.argsort(keys)
+        self._keys = keys[self._key_ranks]
         self.made = [vocab[a + b] for a, b in merges]
         if len(set(self.made)) != len(self.made):
             raise ValueError("a token is made by two merges; applying ranks to a whole partition needs one each")
@@ -64,69 +68,96 @@ class PairIndexBPE:
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._pretoken = regex.compile(_PRETOKEN)
-        self._cache: dict[str, bytes] = {}
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of symbols, -1 where it is not mergeable (negative symbols never are)."""
+        key = a * self._base + b
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where((self._keys[at] == key) & (a >= 0) & (b >= 0), self._key_ranks[at], -1)
+
+    @staticmethod
+    def _by_rank(ranks: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """The places of each rank other than -1."""
+        ranks, places = ranks[(m := ranks >= 0)], places[m]
+        order = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[order], places[order]
+        if len(ranks):
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            yield from zip(ranks[np.append(0, cuts)].tolist(), np.split(places, cuts), strict=True)
 
     def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each pre-token, all merged at once through the pair occurrence index."""
-        ids, rank, pairs, made = self.byte_ids, self.rank, self.pairs, self.made
-        sym: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(sym))
-            sym.extend(ids[b] for b in w)
-            sym.append(-1)  # a wall that no pair contains
-        n = len(sym)
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        where: dict[int, list[int]] = defaultdict(list)
-        for i in range(n - 1):
-            r = rank.get((sym[i], sym[i + 1]))
-            if r is not None:
-                where[r].append(i)
+        """Token ids of each pre-token, all merged at once through the pair occurrence index.
+
+        Each merge makes a token that no other merge makes, so ranks of new pairs are higher than the rank
+        being applied, and one ascending sweep over the active ranks equals word-by-word encoding.
+        """
+        if not words:
+            return []
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths + 1) - 1  # a wall after each word, in no pair
+        sym = np.full(ends[-1] + 1, -1, dtype=np.int64)
+        inside = np.ones(len(sym), dtype=bool)
+        inside[ends] = False
+        sym[inside] = self._byte_ids[np.frombuffer(b"".join(words), np.uint8)]
+        left, right = np.arange(-1, len(sym) - 1), np.arange(1, len(sym) + 1)
+        where = {r: [places] for r, places in self._by_rank(self._ranks(sym[:-1], sym[1:]), np.arange(len(sym) - 1))}
         active = list(where)
         heapq.heapify(active)
         while active:
             r = heapq.heappop(active)
-            a, b = pairs[r]
-            new = made[r]
-            for i in sorted(where.pop(r)):
-                j = right[i]
-                if sym[i] != a or j >= n or sym[j] != b:
-                    continue  # an earlier merge took one of the two
-                k = right[j]
-                sym[i], sym[j] = new, -2
-                right[i] = k
-                if k < n:
-                    left[k] = i
-                h = left[i]
-                for p, pair in ((h, (sym[h], new) if h >= 0 else None), (i, (new, sym[k]) if k < n else None)):
-                    s = rank.get(pair) if pair else None
-                    if s is not None:
-                        if s not in where:
-                            heapq.heappush(active, s)
-                        where[s].append(p)
-        out = np.array(sym, dtype=np.int64)
-        ends = [*starts[1:], n]
-        return [(x := out[s:e])[x >= 0] for s, e in zip(starts, ends, strict=True)]
+            (a, b), new = self.pairs[r], self.made[r]
+            i = np.unique(np.concatenate(where.pop(r)))
+            i = i[sym[i] == a]
+            i = i[sym[right[i]] == b]
+            if a == b:  # of overlapping occurrences the first, the third and so on
+                free, keep = -1, []
+                for p, q in zip(i.tolist(), right[i].tolist(), strict=True):
+                    if p != free:
+                        keep.append(p)
+                        free = q
+                i = np.array(keep, dtype=np.int64)
+            if not len(i):
+                continue
+            j = right[i]
+            k = right[j]
+            sym[i], sym[j] = new, -2
+            right[i], left[k] = k, i
+            h = left[i]
+            made = np.full(len(i), new)
+            before = np.where(h >= 0, sym[h], -1)
+            for s, places in self._by_rank(np.concatenate([self._ranks(before, made), self._ranks(made, sym[k])]), np.concatenate([h, i])):
+                if s not in where:
+                    where[s] = []
+                    heapq.heappush(active, s)
+                where[s].append(places)
+        return [(x := sym[e - n : e])[x >= 0] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
 
     def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
         """Ids (little-endian uint32) of chunks that the cache lacks; short ones are added to it."""
         parts = {c: self._pretoken.findall(c) for c in chunks}
         words = list({w for ws in parts.values() for w in ws})
         done = dict(zip(words, (x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in words])), strict=True))
-        new = {c: b"".join([done[w] for w in ws]) for c, ws in parts.items()}
-        if len(self._cache) + len(new) > CACHE_ENTRIES:
-            self._cache.clear()
-        self._cache.update(x for x in new.items() if len(x[0]) <= CACHE_CHARS)
-        return new
+        return {c: done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws]) for c, ws in parts.items()}
+
+    def _lookup(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of all wanted chunks. The cache has two generations; what is met again moves to the young one."""
+        young, old = self._young, self._old
+        found = {c: x for c in wanted if (x := young.get(c) or old.get(c)) is not None}
+        if len(found) < len(wanted):
+            found |= self._learn(c for c in wanted if c not in found)
+        if len(young) > CACHE_ENTRIES:
+            self._old, self._young = young, {}
+        self._young.update(x for x in found.items() if len(x[0]) <= CACHE_CHARS)
+        return found
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._split.split(t) if self._split and any(s in t for s in self.special) else (t,) for t in texts]
         chunked = [[(None, p) if p in self.special else (_CHUNK.findall(p), p) for p in ps if p] for ps in cut]
         wanted = {c for ps in chunked for cs, _ in ps if cs for c in cs}
-        fresh = [c for c in wanted if c not in self._cache]
-        old = {c: self._cache[c] for c in wanted if c in self._cache} if fresh else self._cache
-        get = (old | self._learn(fresh) if fresh else old).__getitem__
+        get = self._lookup(wanted).__getitem__
         return [b"".join([self.special[p].to_bytes(4, "little") if cs is None else b"".join(map(get, cs)) for cs, p in ps]) for ps in chunked]
 
     def encode(self, text: str) -> list[int]:
@@ -161,7 +192,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Null texts count as empty and give no ids. Rows keep their number and are encoded one by one, so ties
     and repeated rows need no rule. Other columns are ignored. ``path`` must exist on each executor.
     """
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, 2000)
     kind = docs.schema[id_col].dataType
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
