@@ -1,2 +1,86 @@
-"""Corpus pipeline: see STAGES."""
-STAGES = []
+"""Corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing sources, BPE encoding.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet in the shared
+folder and reads again as the next stage's docs. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomlog.llm import bpe, jaccard_join, line_dedup, mixing, quality
+from loomlog.llm.common import table, write_table
+from loomlog.llm.queries import tokenizer_path
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_KINDS = {"doc_id": T.LongType(), "n_chars": T.LongType()}
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars brought up to date; columns that are missing become null, others go."""
+    low = {c.lower(): c for c in docs.columns}
+    kind = lambda c: _KINDS.get(c, T.StringType())
+    out = docs.select(*[(F.col(low[c]) if c in low else F.lit(None).cast(kind(c))).alias(c) for c in COLUMNS])
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the isolation forest. Rows of one doc_id are judged by their own texts."""
+    docs = _documents(docs)
+    verdict = quality.quality(docs, table(spark, sf_dir, "labels")).filter("kept")
+    kept = verdict.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row"))
+    return docs.join(kept, same, "left_semi")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without repeated runs of lines; those of which nothing is left go."""
+    out = line_dedup.line_dedup(_documents(docs))
+    return _documents(out.filter("n_deleted = 0 OR n_deleted < n_lines"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of links (five-word shingles, similarity 0.8): that of the smallest doc_id."""
+    docs = _documents(docs)
+    rows = jaccard_join.jaccard_components(docs, words=5, percent=80)
+    stay = rows.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is drawn, the last one of a source cut to the words taken."""
+    docs = _documents(docs)
+    return _documents(mixing.take(docs, write_table(mixing.mix(docs), "mix")))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian uint32) and the digests of ids and decoded text of every row."""
+    coded = bpe.encode_decode(docs, tokenizer_path())
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", lines),
+    ("jaccard_join", near_duplicates),
+    ("mixing", mixed_sources),
+    ("bpe", encoded),
+]
+
+#: The forest's verdicts, the permuted draw and the tokenizer are beyond SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, applied to documents one after another."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
