@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,29 @@ def smallest_hashed(df: DataFrame, column: str, limit: int, salt: int) -> DataFr
     return df.filter(h < int(share * bits)).orderBy(h, *df.columns).limit(limit)
 
 
+#: Bits of a filter on ids. A full one keeps nothing out and so only stops helping.
+FILTER_BITS = 2**24
+
+
+def slot(column: str) -> Column:
+    """The bit of a value in a ``bit_filter``."""
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+
+
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """A filter of fixed size (FILTER_BITS) over hashed values, to keep rows without a partner out of a shuffle."""
+    cells = values.select(slot(column).alias("s")).groupBy(F.expr("int(s div 64)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(s % 64)))").alias("bits"))
+    field = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for cell, bits in cells.collect():  # at most FILTER_BITS / 64 rows
+        field[cell] = bits
+    return field
+
+
+def passes(field: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Which slots are set; a row outside the filtered values may pass, no row inside fails."""
+    return (field[slots // 64] >> (slots % 64)) & 1 == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

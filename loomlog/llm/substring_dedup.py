@@ -2,9 +2,12 @@
 
 A window can only repeat if its anchor does: the smallest hash of its 16-word pieces, which two equal
 windows share. A first pass writes each document's anchors (about one in eighteen words) and finds those
-that two ids share; windows with another anchor are known to be single and are not sent anywhere. All
-other windows are counted by a 96-bit hash, joined with the first id that has them, and merged, document by
-document, into maximal intervals to remove. Texts are shuffled once, compressed.
+that two ids share; windows with another anchor are known to be single and are not sent anywhere. The
+others form runs, the consecutive windows of one anchor. Equal runs are counted first: those of larger ids
+than the smallest are removed whole. Only the windows of runs in their first id are then counted one by one, by a
+96-bit hash, and joined with the first id that has them: the first id of a window is also the first id of
+its run there. Per document the windows merge into maximal intervals to remove. Texts without a shared
+anchor are not shuffled (as far as a filter of fixed size can tell), the others are, compressed.
 """
 
 from __future__ import annotations
@@ -13,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, write_table
+from .common import arrow_limits, bit_filter, passes, slot, write_table
 from .windows import WordHashes, mixed, rolling, sliding_min
 
 LENGTH = 50
@@ -35,12 +39,11 @@ def window_hashes(hashes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
     return rolling(hashes, length), (rolling(mixed(hashes, 0xA5A5), length, 1) >> np.uint64(32)).astype(np.int32)
 
 
-def covered(starts: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Which of n words the windows at ``starts`` cover, as maximal intervals in a mask."""
+def covered(starts: np.ndarray, counts: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Which of n words are in ``counts`` consecutive windows from each of ``starts``, as intervals in a mask."""
     edge = np.zeros(n + 1, dtype=np.int64)
-    starts = np.unique(starts)
     np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + length, -1)
+    np.add.at(edge, starts + counts + length - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -48,6 +51,19 @@ def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+def _own(spans: pa.ListScalar, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, n) of the spans (row, start, n) that belong to ``row``; null means none."""
+    if not spans.is_valid or not len(spans.values):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    start, n = (spans.values.field(x).to_numpy() for x in ("start", "n"))
+    own = spans.values.field("row").to_numpy() == row
+    return start[own], n[own]
+
+
+def _result(ids: pa.Array, n_words: list[int], n_removed: list[int], kept: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), kept], ["doc_id", "n_words", "n_removed", "kept"])
+
+
 def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept (the kept words joined by one space).
 
@@ -66,68 +82,112 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         known = WordHashes()
         for batch in batches:
             at, found = [], []
-            for i, t in enumerate(batch.column(2)):
+            for i, t in enumerate(batch.column(1)):
                 words = t.as_py().encode().split()
                 if len(words) >= length:
                     found.append(np.unique(anchors(known.of(words), length)))
                     at.append(np.full(len(found[-1]), i))
             if found:
-                place = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(np.concatenate(found)), batch.column(0).take(place), batch.column(1).take(place)], ["anchor", "doc_id", "row"]
-                )
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), batch.column(0).take(pa.array(np.concatenate(at)))], ["anchor", "doc_id"])
 
-    posted = write_table(base.filter("doc_id IS NOT NULL").mapInArrow(find_anchors, f"anchor long, doc_id {kind}, row long"), "anchors")
+    posted = base.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(find_anchors, f"anchor long, doc_id {kind}")
+    posted = write_table(posted, "anchors")
     shared = posted.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    wanted = posted.join(shared, "anchor").groupBy("doc_id", "row").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = posted.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+
+    wanted = write_table(wanted, "wanted")
+    field = spark.sparkContext.broadcast(bit_filter(wanted, "doc_id"))
+    told = base.withColumn("slot", slot("doc_id"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            batch = batch.filter(pa.array(passes(field.value, batch.column(3).to_numpy())))
             packed = pa.array([squeeze.compress(t.as_py().encode()) for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "row", "packed"])
 
-    packed = base.mapInArrow(pack, f"doc_id {kind}, row long, packed binary").repartition("doc_id", "row")
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(~passes(field.value, batch.column(3).to_numpy())))
+            words = [t.as_py().encode().split() for t in batch.column(2)]
+            kept = pa.array([b" ".join(w).decode() for w in words], pa.string())
+            yield _result(batch.column(0), list(map(len, words)), [0] * len(words), kept)
 
-    def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packed = told.mapInArrow(pack, f"doc_id {kind}, row long, packed binary").repartition("doc_id")
+
+    def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, open_ = WordHashes(), zstandard.ZstdDecompressor()
         for batch in batches:
+            at, first, digests, sizes = [], [], [], []
             for i, (p, a) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 words = known.of(open_.decompress(p.as_py()).split())
-                starts = np.flatnonzero(np.isin(anchors(words, length), a.values.to_numpy().view(np.uint64)))
-                if len(starts):
-                    h, c = window_hashes(words, length)
-                    place = pa.array(np.full(len(starts), i))
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(h[starts]), pa.array(c[starts]), batch.column(0).take(place), batch.column(1).take(place), pa.array(starts.astype(np.int32))],
-                        ["h", "c", "doc_id", "row", "start"],
-                    )
-
-    windows = packed.join(wanted, ["doc_id", "row"]).select("doc_id", "row", "packed", "anchors")
-    windows = windows.mapInArrow(find_windows, f"h long, c int, doc_id {kind}, row long, start int")
-    first = windows.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    later = windows.join(first, ["h", "c"]).filter("doc_id > first").groupBy("doc_id", "row").agg(F.collect_list("start").alias("starts"))
+                every = anchors(words, length)
+                starts = np.flatnonzero(np.isin(every, a.values.to_numpy().view(np.uint64)))
+                if not len(starts):
+                    continue
+                h, c = (x[starts] for x in window_hashes(words, length))
+                begin = np.append(0, np.flatnonzero((np.diff(starts) != 1) | (np.diff(every[starts]) != 0)) + 1)
+                size = np.diff(np.append(begin, len(starts)))
+                digests += [xxhash.xxh3_128_digest(h[b : b + n].tobytes() + c[b : b + n].tobytes()) for b, n in zip(begin.tolist(), size.tolist(), strict=True)]
+                at.append(np.full(len(begin), i))
+                first.append(starts[begin])
+                sizes.append(size)
+            if at:
+                place, digest = pa.array(np.concatenate(at)), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                columns = [pa.array(np.ascontiguousarray(digest[:, k])) for k in (0, 1)] + [batch.column(k).take(place) for k in (0, 1)]
+                columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (first, sizes)]
+                yield pa.RecordBatch.from_arrays(columns, ["r1", "r2", "doc_id", "row", "start", "n"])
+
+    runs = packed.join(wanted, "doc_id").select("doc_id", "row", "packed", "anchors")
+    runs = write_table(runs.mapInArrow(find_runs, f"r1 long, r2 long, doc_id {kind}, row long, start int, n int"), "runs")
+    placed = runs.join(runs.groupBy("r1", "r2").agg(F.min("doc_id").alias("first")), ["r1", "r2"])
+    span = F.struct("row", "start", "n")
+    placed = placed.groupBy("doc_id").agg(
+        F.collect_set(F.when(F.col("doc_id") > F.col("first"), span)).alias("later"), F.collect_set(F.when(F.col("doc_id") == F.col("first"), span)).alias("lead")
+    )
+    placed = write_table(placed, "placed-runs")
+
+    def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+        for batch in batches:
+            at, first, hs, cs = [], [], [], []
+            for i, (row, p, s) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)):
+                start, n = _own(s, row)
+                if len(start):
+                    h, c = window_hashes(known.of(open_.decompress(p.as_py()).split()), length)
+                    first.append(np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()))
+                    at.append(np.full(len(first[-1]), i))
+                    hs.append(h[first[-1]])
+                    cs.append(c[first[-1]])
+            if at:
+                place = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(np.concatenate(hs)), pa.array(np.concatenate(cs)), batch.column(0).take(place), batch.column(1).take(place), pa.array(np.concatenate(first).astype(np.int32))],
+                    ["h", "c", "doc_id", "row", "start"],
+                )
+
+    single = packed.join(placed.filter(F.size("lead") > 0), "doc_id").select("doc_id", "row", "packed", "lead")
+    single = single.mapInArrow(find_windows, f"h long, c int, doc_id {kind}, row long, start int")
+    first = single.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
+    apart = single.join(first, ["h", "c"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("row", "start", F.lit(1).alias("n"))).alias("apart"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             n_words, n_removed, kept = [], [], []
-            for p, s in zip(batch.column(1), batch.column(2), strict=True):
+            for row, p, *cuts in zip(batch.column(1).to_pylist(), *(batch.column(k) for k in (2, 3, 4)), strict=True):
                 words = open_.decompress(p.as_py()).split()
                 n_words.append(len(words))
-                if s.is_valid:
-                    gone = covered(s.values.to_numpy(), len(words), length)
-                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                start, n = map(np.concatenate, zip(*(_own(s, row) for s in cuts), strict=True))
+                if len(start):
+                    words = [w for w, g in zip(words, covered(start, n, len(words), length).tolist(), strict=True) if not g]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept"],
-            )
+            yield _result(batch.column(0), n_words, n_removed, pa.array(kept, pa.string()))
 
-    return packed.join(later, ["doc_id", "row"], "left").select("doc_id", "packed", "starts").mapInArrow(
-        remove, f"doc_id {kind}, n_words long, n_removed long, kept string"
-    )
+    schema = f"doc_id {kind}, n_words long, n_removed long, kept string"
+    cut = packed.join(placed.select("doc_id", "later"), "doc_id", "left").join(apart, "doc_id", "left")
+    return cut.select("doc_id", "row", "packed", "later", "apart").mapInArrow(remove, schema).unionByName(told.mapInArrow(keep, schema))
 
 
 ORACLE = """

@@ -11,16 +11,27 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2
 
 
 class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to WORDS_KEPT of them."""
+    """64-bit hashes of words (bytes), remembered for up to WORDS_KEPT of them: places in a table of hashes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._table, self._new = np.zeros(0, dtype=np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
+        self[word] = place = len(self)
+        self._new.append(xxhash.xxh3_64_digest(word)[::-1])
+        return place
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), dtype=np.uint64)
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        places = np.array(list(map(self.__getitem__, words)), dtype=np.int32)
+        if self._new:
+            if len(self) > len(self._table):
+                self._table = np.concatenate([self._table[: len(self) - len(self._new)], np.zeros(2 * len(self), dtype=np.uint64)])
+            self._table[len(self) - len(self._new) : len(self)] = np.frombuffer(b"".join(self._new), "<u8")
+            self._new = []
+        return self._table[places]
 
 
 def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
