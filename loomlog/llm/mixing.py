@@ -13,7 +13,7 @@ documents travel in numbers that grow with it, in one shuffle by (source, block)
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -55,50 +55,58 @@ def _uniform(*key: Column) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(2**52)) / F.lit(float(2**52))
 
 
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct of values that are computed once; keeps nested expressions small."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), body), 0)
+
+
 def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
     """The draw at uniform ``u`` from Hypergeometric(total, good, draws), by inversion outward from the mode.
 
     Terms beyond twelve standard deviations are under double precision and are left out, so the work grows
     with the square root of the number of blocks.
     """
-    n, k, d = (c.cast("double") for c in (total, good, draws))
-    low, high = F.greatest(F.lit(0), draws - (total - good)), F.least(draws, good)
-    mode = F.least(F.greatest(F.floor((d + 1) * (k + 1) / (n + 2)).cast("long"), low), high)
-    spread = F.when(total > 1, F.sqrt(d * (k / n) * (1 - k / n) * (n - d) / (n - 1))).otherwise(0.0)
-    width = F.ceil(12 * F.coalesce(spread, F.lit(0.0))).cast("long") + 12
-    top, bottom = F.least(high, mode + width), F.greatest(low, mode - width)
+    long = lambda x: F.lit(x).cast("long")
 
-    def up(x: Column) -> Column:  # weight of x + 1 over that of x
-        return (k - x) * (d - x) / ((x + 1) * (n - k - d + x + 1))
+    def up(a: Column, x: Column) -> Column:  # weight of x + 1 over that of x
+        return (a["k"] - x) * (a["d"] - x) / ((x + 1) * (a["n"] - a["k"] - a["d"] + x + 1))
 
-    def down(x: Column) -> Column:  # weight of x - 1 over that of x
-        return x * (n - k - d + x) / ((k - x + 1) * (d - x + 1))
+    def down(a: Column, x: Column) -> Column:  # weight of x - 1 over that of x
+        return x * (a["n"] - a["k"] - a["d"] + x) / ((a["k"] - x + 1) * (a["d"] - x + 1))
 
-    def walk(stop: Column, step: int, ratio) -> Column:
+    def walk(a: Column, b: Column, left: Column, stop: Column, step: int, ratio: Callable[[Column, Column], Column]) -> Column:
+        """(sum of the weights from the mode to ``stop``, the x at which the sum passes ``left``, or -1)."""
         return F.aggregate(
-            F.sequence(mode, stop, F.lit(step).cast("long")), F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("w")),
-            lambda s, x: F.struct((s["sum"] + s["w"]).alias("sum"), F.when(x == stop, 0.0).otherwise(s["w"] * ratio(x.cast("double"))).alias("w")),
-            lambda s: s["sum"],
-        )
-
-    def find(left: Column, stop: Column, step: int, ratio) -> Column:
-        """The x at which the running weight passes ``left``, or -1."""
-        return F.aggregate(
-            F.sequence(mode, stop, F.lit(step).cast("long")),
-            F.struct(left.alias("left"), F.lit(1.0).alias("w"), F.lit(-1).cast("long").alias("x")),
+            F.sequence(b["mode"], stop, long(step)), F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("w"), long(-1).alias("x")),
             lambda s, x: F.struct(
-                (s["left"] - s["w"]).alias("left"),
-                F.when(x == stop, 0.0).otherwise(s["w"] * ratio(x.cast("double"))).alias("w"),
-                F.when((s["x"] < 0) & (s["left"] < s["w"]), x).otherwise(s["x"]).alias("x"),
+                (s["sum"] + s["w"]).alias("sum"), F.when(x == stop, 0.0).otherwise(s["w"] * ratio(a, x.cast("double"))).alias("w"),
+                F.when((s["x"] < 0) & (left < s["sum"] + s["w"]), x).otherwise(s["x"]).alias("x"),
             ),
-            lambda s: s["x"],
+        )
+
+    def pick(a: Column, b: Column, c: Column) -> Column:
+        over = walk(a, b, F.lit(0.0), c["top"], 1, up)["sum"]
+        under = walk(a, b, F.lit(0.0), c["bottom"], -1, down)["sum"]
+
+        def search(e: Column) -> Column:
+            first = walk(a, b, e["goal"], c["top"], 1, up)["x"]
+            second = walk(a, b, e["goal"] - e["over"] + 1, c["bottom"], -1, down)["x"]  # its first step is the mode again
+            return F.when(b["low"] == b["high"], b["low"]).otherwise(F.coalesce(F.when(first >= 0, first), F.when(second >= 0, second), c["bottom"]))
+
+        return _let({"over": over, "under": under}, lambda w: _let({"over": w["over"], "goal": a["u"] * (w["over"] + w["under"] - 1)}, search))
+
+    def bounded(a: Column) -> Column:
+        low, high = F.greatest(long(0), a["draws"] - (a["total"] - a["good"])), F.least(a["draws"], a["good"])
+        mode = F.floor((a["d"] + 1) * (a["k"] + 1) / (a["n"] + 2)).cast("long")
+        spread = F.when(a["total"] > 1, F.sqrt(a["d"] * (a["k"] / a["n"]) * (1 - a["k"] / a["n"]) * (a["n"] - a["d"]) / (a["n"] - 1)))
+        width = F.ceil(12 * F.coalesce(spread, F.lit(0.0))).cast("long") + 12
+        return _let(
+            {"low": low, "high": high, "mode": F.least(F.greatest(mode, low), high), "width": width},
+            lambda b: _let({"top": F.least(b["high"], b["mode"] + b["width"]), "bottom": F.greatest(b["low"], b["mode"] - b["width"])}, lambda c: pick(a, b, c)),
         )
 
-    over, under = walk(top, 1, up), walk(bottom, -1, down)
-    goal = u * (over + under - 1)
-    first = find(goal, top, 1, up)
-    second = find(goal - over + 1, bottom, -1, down)  # its first step is the mode again
-    return F.when(low == high, low).when(first >= 0, first).when(second >= 0, second).otherwise(bottom)
+    given = {"total": total, "good": good, "draws": draws, "u": u, "n": total.cast("double"), "k": good.cast("double"), "d": draws.cast("double")}
+    return _let(given, bounded)
 
 
 def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -113,7 +121,7 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) -> D
 
         def draw(s: Column, q: Column) -> Column:
             x = hypergeometric(s["total"], q["quota"], s["draws"], _uniform(F.lit(seed), F.col("low"), F.col("high"), q["rank"]))
-            return F.struct((s["total"] - q["quota"]).alias("total"), (s["draws"] - x).alias("draws"), F.concat(s["out"], F.array(x)).alias("out"))
+            return _let({"x": x}, lambda v: F.struct((s["total"] - q["quota"]).alias("total"), (s["draws"] - v["x"]).alias("draws"), F.concat(s["out"], F.array(v["x"])).alias("out")))
 
         start = F.struct(F.col("total").alias("total"), F.col("left_total").alias("draws"), F.array().cast("array<bigint>").alias("out"))
         nodes = nodes.withColumns({"total": total, "left_total": left_total})
