@@ -67,11 +67,11 @@ def elect(partitions: DataFrame) -> DataFrame:
 
     The first in-sync replica that is not the leader, else the first one; an empty set is error 1 and changes nothing.
     """
-    other = F.filter("isr", lambda b: b != F.col("leader_id"))
-    chosen = F.coalesce(F.get(other, 0), F.get("isr", 0))
-    return partitions.select(
-        "topic", "partition", F.coalesce(chosen, "leader_id").alias("leader_id"),
-        (F.col("leader_epoch") + chosen.isNotNull().cast("int")).alias("leader_epoch"), F.when(chosen.isNull(), 1).otherwise(0).alias("error"),
+    state = partitions.withColumn("chosen", F.coalesce(F.get(F.array_remove("isr", F.col("leader_id")), 0), F.get("isr", 0)))
+    found = F.col("chosen").isNotNull()
+    return state.select(
+        "topic", "partition", F.coalesce("chosen", "leader_id").alias("leader_id"), (F.col("leader_epoch") + found.cast("int")).alias("leader_epoch"),
+        F.when(found, 0).otherwise(1).alias("error"),
     )
 
 
@@ -106,11 +106,12 @@ def fail_over(partitions: DataFrame, dead: DataFrame) -> DataFrame:
     gone = dead.agg(F.coalesce(F.collect_set("broker_id"), F.array().cast("array<int>")).alias("gone"))
     state = partitions.join(F.broadcast(gone))  # one row
     state = state.withColumn("left", F.array_except("isr", "gone")).withColumn("led", F.array_contains("gone", F.col("leader_id")))
-    chosen = F.when(F.col("led"), F.get(F.filter("left", lambda b: b != F.col("leader_id")), 0))
+    state = state.withColumn("chosen", F.when(F.col("led"), F.get(F.array_remove("left", F.col("leader_id")), 0)))
+    moved = F.col("chosen").isNotNull()
     return state.select(
-        "topic", "partition", F.coalesce(chosen, "leader_id").alias("leader_id"), (F.col("leader_epoch") + chosen.isNotNull().cast("int")).alias("leader_epoch"),
+        "topic", "partition", F.coalesce("chosen", "leader_id").alias("leader_id"), (F.col("leader_epoch") + moved.cast("int")).alias("leader_epoch"),
         F.col("left").alias("isr"), (F.col("partition_epoch") + (F.size("left") != F.size("isr")).cast("int")).alias("partition_epoch"),
-        F.when(F.col("led") & chosen.isNull(), 1).otherwise(0).alias("error"),
+        F.when(F.col("led") & ~moved, 1).otherwise(0).alias("error"),
     )
 
 
