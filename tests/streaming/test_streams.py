@@ -43,6 +43,7 @@ def test_repeated_epoch_writes_nothing_twice(spark, tmp_path):
 
 def test_group_stream_equals_the_machine(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else timers keep the query running
     now = int(time.time() * 1000)
     e = lambda seq, member, event, generation=0, payload=None: (seq, now + seq, "g", member, event, generation, 2 * 10**9, ["r"], payload)
     parts = [[e(1, "a", "join"), e(2, "a", "sync", 1, '{"a": "A"}')], [e(3, "a", "heartbeat", 1), e(4, "b", "heartbeat", 1), e(5, "a", "leave")]]
