@@ -89,11 +89,15 @@ def slot(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
 
 
+def filter_cells(values: DataFrame, column: str) -> DataFrame:
+    """(cell, bits): a filter of fixed size over hashed values, at most FILTER_BITS / 64 rows."""
+    return values.select(slot(column).alias("s")).groupBy(F.expr("int(s div 64)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(s % 64)))").alias("bits"))
+
+
 def bit_filter(values: DataFrame, column: str) -> np.ndarray:
-    """A filter of fixed size (FILTER_BITS) over hashed values, to keep rows without a partner out of a shuffle."""
-    cells = values.select(slot(column).alias("s")).groupBy(F.expr("int(s div 64)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(s % 64)))").alias("bits"))
+    """``filter_cells`` as an array, to keep rows without a partner out of a shuffle."""
     field = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    for cell, bits in cells.collect():  # at most FILTER_BITS / 64 rows
+    for cell, bits in filter_cells(values, column).collect():
         field[cell] = bits
     return field
 

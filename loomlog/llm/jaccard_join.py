@@ -1,20 +1,27 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
-Documents of equal shingle sets form a class. Shingles are ordered rare ones first (frequent shingles are
-the heavy hitters of a Misra-Gries summary of bounded size, which is broadcast), then by hash. Two sets of
-Jaccard similarity t share at least k shingles of their extended prefixes of n - ceil(t n) + k: one of them
-is rare, or k frequent ones. So each class is indexed under every rare shingle of its extended prefix and
-under every k-combination (k = 2) of frequent ones.
-
-Keys of one class are dropped. In each other key all members are compared with its smallest one, then
-those that are still in different components with each other, never the pairs that are already connected.
-Pairs that sizes and prefix positions rule out are dropped, the others are verified on whole sets.
+Documents of equal shingle sets form a class. Shingles are ordered rare ones first, then by hash. Two sets of
+sizes n and m that reach the similarity share o(n) = ceil(percent * n / 100) shingles or more, so their extended
+prefixes of n - o(n) + k(n) and m - o(m) + k(m) share at least k = min(k(n), k(m)), two or more. A class is
+indexed under every rare shingle of its extended prefix. For the case that all the shared ones are
+frequent, these are dealt by hash into token classes, fewer than shared ones: two shared ones fall
+into the same one, so the class is indexed under the pairs within each of them. How many are shared at
+least depends on both sizes; the pairs are made for each band of partner sizes, and their keys name both bands.
+
+Which shingles are frequent is counted exactly over the heads of the sets (prefixes by hash with some slack). At
+most FREQUENT_KEPT are used, those above a share of the total, so the broadcast list is bounded; any
+choice gives the same links. Where a head holds enough rare shingles it holds the prefix; other
+texts are read again. Keys of one class are dropped. In larger keys all members are compared with the smallest
+one, in crowded ones then with further hubs as long as components differ. What is still in different components
+is compared in every key, but only if sizes, positions and the number of shared keys allow the similarity.
+Pairs are verified on whole sets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +29,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, write_table
+from .common import arrow_limits, bit_filter, filter_cells, passes, slot, write_table
 from .components import components
 from .windows import WordHashes, mixed, rolling
 
-#: Counters of a frequency summary: shingles of more than (all shingles) / COUNTERS sets are frequent.
-COUNTERS = 2**18
-#: Shingles counted less often are never frequent.
-FREQUENT = 64
-#: Bits of the filter that keeps texts without candidates from being shuffled; a full one only stops helping.
-FILTER_BITS = 2**24
+#: Shingles of more than so many classes are frequent, and how many of them are used at most.
+FREQUENT = 32
+FREQUENT_KEPT = 2**18
+#: Keys of so many classes are first compared with their smallest class.
+STAR = 8
+#: Keys of so many classes are crowded; rounds and hubs a round in them.
+CROWD = 256
+ROUNDS, HUBS = 2, 16
+#: Ratio of the sizes at the ends of a band.
+BAND = 1.04
+#: Bits of a shingle's hash, from the top, that a key has.
+KEY_BITS = 48
 
 
 def shingles(text: str, known: WordHashes, words: int) -> np.ndarray:
@@ -49,155 +62,271 @@ def signature(s: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-class Summary:
-    """Misra-Gries over arrays of 64-bit values."""
+def needed(n: int, percent: int) -> tuple[int, int]:
+    """(o, k): shingles that a similar set shares at least, and those of them in both extended prefixes."""
+    o = -(-percent * n // 100)
+    return o, min(o, max(2, -(-3 * n // 100)))
 
-    def __init__(self, k: int) -> None:
-        self.k, self.values, self.counts, self.waiting, self.size = k, np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
 
-    def add(self, values: np.ndarray) -> None:
-        self.waiting.append(values)
-        self.size += len(values)
-        if self.size > 4 * self.k:
-            self.settle()
+def prefix_length(n: int, percent: int) -> int:
+    o, k = needed(n, percent)
+    return n - o + k
 
-    def settle(self) -> None:
-        new, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.waiting]), return_counts=True)
-        self.waiting, self.size = [], 0
-        values, place = np.unique(np.concatenate([self.values, new]), return_inverse=True)
-        total = np.bincount(place, np.concatenate([self.counts, counts]), len(values)).astype(np.int64)
-        if len(values) > self.k:
-            total -= np.partition(total, len(total) - self.k - 1)[len(total) - self.k - 1]
-        self.values, self.counts = values[total > 0], total[total > 0]
 
+def band(n: int) -> int:
+    """The band of a set size."""
+    return int(math.log(n) / math.log(BAND) + 1e-9)
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, percent: int, k: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and the positions (of a key's first shingle) in the order rare first, then by hash."""
-    at = np.minimum(np.searchsorted(frequent, s), max(len(frequent) - 1, 0))
-    often = frequent[at] == s if len(frequent) else np.zeros(len(s), dtype=bool)
-    length = min(len(s), len(s) - -(-percent * len(s) // 100) + k)
-    rare = s[~often][:length]
-    rest = s[often][: length - len(rare)]
-    combos = list(combinations(range(len(rest)), k))
-    if not combos:
-        return rare, np.arange(len(rare), dtype=np.int32)
-    pick = np.array(combos)
-    key = np.zeros(len(pick), dtype=np.uint64)
-    for j in range(k):
-        key = mixed(key ^ rest[pick[:, j]], 0xC0B0 + j)
-    return np.concatenate([rare, key]), np.concatenate([np.arange(len(rare)), len(rare) + pick[:, 0]]).astype(np.int32)
 
+@lru_cache(maxsize=100_000)
+def token_classes(x: int, y: int, percent: int) -> int:
+    """One less than what similar sets of sizes in bands x and y share at least in their extended prefixes.
+
+    The prefix that ends first lies before the other's end, so all of it but the shingles of its set that are not shared
+    is in the other one. The bound falls with the own size and grows with the other's, but for roundings.
+    """
+    def ends(b: int) -> tuple[int, int]:
+        low, high = int(BAND**b) - 1, int(BAND ** (b + 1)) + 2
+        inside = [n for n in (*range(max(2, low), low + 4), *range(max(2, high - 4), high + 1)) if band(n) == b]
+        return min(inside, default=2), max(inside, default=2)
+
+    def least(n: int, m: int) -> int:
+        return prefix_length(n, percent) - n - (-percent * (n + m) // (100 + percent))
+
+    (low_x, high_x), (low_y, high_y) = ends(x), ends(y)
+    always = min(needed(low_x, percent)[1], needed(low_y, percent)[1])
+    return max(2, always, min(least(high_x, low_y), least(high_y, low_x)) - 3) - 1
+
+
+def keys_of(s: np.ndarray) -> np.ndarray:
+    """Keys of shingles, in the same order and not negative."""
+    return (s >> np.uint64(64 - KEY_BITS)).view(np.int64)
+
+
+def head(s: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of the extended prefix by hash, and some more."""
+    n = len(s)
+    return keys_of(s[: prefix_length(n, percent) + max(16, -(-8 * n // 100))] if n > 1 else s)
+
+
+def among(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array ``frequent``."""
+    if not len(frequent):
+        return np.zeros(len(keys), dtype=bool)
+    return frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
+
+
+def pairs_within(keys: np.ndarray, classes: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """(combined key, place of the first one) of every pair of keys in the same one of so many token classes."""
+    groups = mixed(keys.view(np.uint64), 0xC0B0) % np.uint64(classes)
+    order = np.argsort(groups, kind="stable")
+    size = np.unique(groups, return_counts=True)[1]
+    rest = np.repeat(np.cumsum(size), size) - np.arange(len(keys)) - 1  # later members of the same class
+    one = np.repeat(np.arange(len(keys)), rest)
+    two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(rest) - rest, rest)
+    one, two = order[one], order[two]
+    return mixed(mixed(keys[one].view(np.uint64), 0xC0B1 + tag) ^ keys[two].view(np.uint64), 0xC0B2), one
+
+
+def postings(keys: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int] | None:
+    """(index keys, positions of each key's first shingle, frequent shingles) of the extended prefix, rare ones first.
+
+    Keys of pairs are negative. Their last two bits are 0 if the bands are the same, else 2 for the lower band's side and
+    3 for the other one's, see ``partner``. ``keys`` are those of the whole set or its first ones by hash; None if the latter are too few. Keys of pairs are negative.
+    """
+    often, length = among(keys, frequent), prefix_length(n, percent)
+    rare = keys[~often][:length]
+    if len(rare) < length and len(keys) < n:
+        return None
+    rest = keys[often][: length - len(rare)]
+    made, places = [rare], [np.arange(len(rare))]
+    if len(rest) > 1:
+        own = band(n)
+        for other in range(band(max(2, -(-percent * n // 100))), band(100 * n // percent) + 1):
+            x, y = min(own, other), max(own, other)
+            k, p = pairs_within(rest, token_classes(x, y, percent), x << 20 | y << 4)
+            side = 0 if x == y else 2 + (own == y)
+            made.append((k & np.uint64(2**63 - 4) | np.uint64(2**63 + side)).view(np.int64))
+            places.append(len(rare) + p)
+    return np.concatenate(made), np.concatenate(places).astype(np.int32), len(rest)
+
+
+def partner(key: str) -> Column:
+    """The key under which partners of a key's classes are found: the other side's, or the key itself."""
+    return F.when((F.col(key) < 0) & (F.col(key).bitwiseAND(2) == 2), F.col(key).bitwiseXOR(1)).otherwise(F.col(key))
 
-def _possible(percent: int) -> Column:
-    """Whether sizes (n, m) and positions (i, j) of one shared shingle allow the similarity."""
-    inter = F.least("i", "j") + 1 + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1
-    return 100 * inter >= percent * (F.col("n") + F.col("m") - inter)
+
+def both_sides(key: str) -> Column:
+    """One value for a key and its partner."""
+    return F.when(F.col(key) < 0, F.col(key).bitwiseAND(-2)).otherwise(F.col(key))
 
 
 def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64))
 
 
+_POSTED = ["key", "a", "n", "i", "f"]
+
+
+def _posted(found: list[tuple[int, int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
+    """A batch of postings from (a, n, keys, positions, frequent)."""
+    keys = [x[2] for x in found]
+    spread = lambda values, kind: pa.array(np.repeat(np.array(values, dtype=kind), list(map(len, keys))))
+    a, n, f = spread([x[0] for x in found], np.int64), spread([x[1] for x in found], np.int32), spread([x[4] for x in found], np.int32)
+    joined = [pa.array(np.concatenate([np.zeros(0, k), *xs])) for k, xs in ((np.int64, keys), (np.int32, [x[3] for x in found]))]
+    return pa.RecordBatch.from_arrays([joined[0], a, n, joined[1], f], _POSTED)
+
+
 class Join:
-    """The steps of one join over ``docs``; ``links`` and ``rows`` are its results."""
+    """The steps of one join over ``docs``; ``run`` gives its results."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> None:
-        arrow_limits(docs.sparkSession)
+        self.spark = docs.sparkSession
+        arrow_limits(self.spark)
         self.words, self.percent = words, percent
         self.kind = docs.schema[id_col].dataType.simpleString()
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         self.base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
-    def scan(self) -> tuple[DataFrame, np.ndarray]:
-        """(doc_id, a, b, n) of every row, and the frequent shingles, from one pass."""
-        words, kind = self.words, self.kind
+    def scan(self) -> DataFrame:
+        """(doc_id, a, b, n, head) of every row: its class, set size and first keys."""
+        words, percent = self.words, self.percent
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, summary = WordHashes(), Summary(COUNTERS)
-            names = ["doc_id", "a", "b", "n", "token", "count"]
+            known = WordHashes()
             for batch in batches:
                 sets = [shingles(t.as_py(), known, words) for t in batch.column(1)]
-                for s in sets:
-                    summary.add(s)
                 signed = [signature(s) for s in sets]
-                none = pa.nulls(len(sets), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([x for x, _ in signed], pa.int64()), pa.array([y for _, y in signed], pa.int64()), pa.array(map(len, sets), pa.int64()), none, none],
-                    names,
-                )
-                id_type = batch.column(0).type
-            summary.settle()
-            if len(often := np.flatnonzero(summary.counts > 1)):
-                none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(often), id_type), none, none, none, _signed(summary.values[often]), pa.array(summary.counts[often])], names
-                )
-
-        seen = write_table(self.base.mapInArrow(task, f"doc_id {kind}, a long, b long, n long, token long, count long"), "jaccard-scan")
-        heavy = seen.filter("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("c")).filter(F.col("c") > FREQUENT)
-        heavy = heavy.orderBy(F.desc("c"), "token").limit(COUNTERS).select("token").toPandas()["token"]  # bounded by COUNTERS
-        return seen.filter("n IS NOT NULL").select("doc_id", "a", "b", "n"), np.sort(heavy.to_numpy(dtype=np.int64).view(np.uint64))
-
-    def index(self, frequent: np.ndarray) -> DataFrame:
-        """(key, a, n, i, hub): the postings of the keys that hold two classes or more, with the smallest member."""
-        words, percent = self.words, self.percent
-        shared = self.base.sparkSession.sparkContext.broadcast(frequent)
+                heads = [head(s, percent) for s in sets]
+                offsets = np.append(0, np.cumsum([len(x) for x in heads])).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *heads])))
+                a, b = (pa.array([x[k] for x in signed], pa.int64()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), a, b, pa.array(list(map(len, sets)), pa.int64()), listed], ["doc_id", "a", "b", "n", "head"])
+
+        return write_table(self.base.mapInArrow(task, f"doc_id {self.kind}, a long, b long, n long, head array<long>"), "jaccard-scan")
+
+    def heads(self, seen: DataFrame, classes: DataFrame) -> DataFrame:
+        """(a, n, head), one row per class of several shingles.
+
+        Only rows that a filter of fixed size takes for members of a larger class are shuffled to drop repeats.
+        """
+        several = seen.filter("n > 1")
+        cells = F.broadcast(filter_cells(classes.filter("c > 1"), "a"))  # at most FILTER_BITS / 64 rows
+        told = several.withColumn("slot_", slot("a")).withColumn("cell", F.expr("int(slot_ div 64)")).join(cells, "cell", "left")
+        told = told.withColumn("again", F.expr("coalesce(shiftright(bits, int(slot_ % 64)) & 1L, 0L) = 1L")).select("a", "b", "n", "head", "again")
+        once = told.filter("again").groupBy("a", "b", "n").agg(F.first("head").alias("head"))
+        return told.filter("NOT again").select("a", "n", "head").unionByName(once.select("a", "n", "head"))
+
+    def heavy(self, heads: DataFrame, total: int) -> np.ndarray:
+        """Sorted keys in more than FREQUENT heads and more than 1 / FREQUENT_KEPT of all entries: fewer than FREQUENT_KEPT."""
+        counts = heads.select(F.explode("head").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        rows = counts.filter(F.col("c") > max(FREQUENT, total // FREQUENT_KEPT)).select("key").collect()
+        return np.sort(np.array([r[0] for r in rows], dtype=np.int64))
+
+    def early(self, heads: DataFrame, frequent: np.ndarray) -> DataFrame:
+        """(key, a, n, i, f): postings of the classes whose heads hold their prefix; a row without key for each other one."""
+        percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, often = WordHashes(), shared.value
             for batch in batches:
-                keys, places, owners, sizes = [], [], [], []
-                for t in batch.column(0):
-                    s = shingles(t.as_py(), known, words)
-                    if len(s) > 1:
-                        key, place = prefix_keys(s, often, percent)
-                        keys.append(key)
-                        places.append(place)
-                        owners.append(np.full(len(key), signature(s)[0]))
-                        sizes.append(np.full(len(key), len(s), dtype=np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_arrays(
-                        [_signed(np.concatenate(keys)), *(pa.array(np.concatenate(x)) for x in (owners, sizes, places))], ["key", "a", "n", "i"]
-                    )
-
-        posted = write_table(self.base.select("text").mapInArrow(task, "key long, a long, n int, i int"), "jaccard-postings")
-        hubs = posted.groupBy("key").agg(F.min("a").alias("hub"), F.max("a").alias("other")).filter("hub < other").drop("other")
-        return write_table(posted.join(hubs, "key").distinct(), "jaccard-index")
+                found, short = [], []
+                for a, n, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    p = postings(h.values.to_numpy(), n, shared.value, percent)
+                    if p is None:
+                        short.append(a)
+                    else:
+                        found.append((a, n, *p))
+                yield _posted(found)
+                none = pa.nulls(len(short), pa.int64())
+                less = pa.nulls(len(short), pa.int32())
+                yield pa.RecordBatch.from_arrays([none, pa.array(short, pa.int64()), less, less, less], _POSTED)
+
+        return write_table(heads.select("a", "n", "head").mapInArrow(task, "key long, a long, n int, i int, f int"), "jaccard-early")
 
     def fetch(self, classes: DataFrame, wanted: DataFrame) -> DataFrame:
         """(a, packed): one compressed text of each class in ``wanted`` (a), found by the class's smallest id."""
-        words, kind, bits = self.words, self.kind, FILTER_BITS
-        need = write_table(classes.join(wanted, "a").select("doc_id", "a"), "jaccard-need")
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-        cells = need.select(slot.alias("s")).groupBy(F.expr("int(s div 64)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(s % 64)))").alias("bits"))
-        field = np.zeros(bits // 64, dtype=np.int64)
-        for cell, value in cells.collect():  # at most FILTER_BITS / 64 rows
-            field[cell] = value
-        shared = self.base.sparkSession.sparkContext.broadcast(field)
+        words = self.words
+        need = write_table(classes.select("doc_id", "a").join(wanted, "a", "left_semi"), "jaccard-need")
+        field = self.spark.sparkContext.broadcast(bit_filter(need, "doc_id"))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                s = batch.column(2).to_numpy()
-                batch = batch.filter(pa.array((shared.value[s // 64] >> (s % 64)) & 1 == 1))
+                batch = batch.filter(pa.array(passes(field.value, batch.column(2).to_numpy())))
                 texts = [t.as_py() for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0), pa.array([signature(shingles(t, known, words))[0] for t in texts], pa.int64()),
-                        pa.array([squeeze.compress(t.encode()) for t in texts], pa.binary()),
-                    ],
-                    ["doc_id", "a", "packed"],
-                )
-
-        texts = self.base.select("doc_id", "text", slot.alias("slot")).filter("doc_id IS NOT NULL")
-        texts = texts.mapInArrow(task, f"doc_id {kind}, a long, packed binary")
-        return texts.join(need, ["doc_id", "a"]).groupBy("a").agg(F.first("packed").alias("packed"))
-
-    def verify(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+                a = pa.array([signature(shingles(t, known, words))[0] for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), a, pa.array([squeeze.compress(t.encode()) for t in texts], pa.binary())], ["doc_id", "a", "packed"])
+
+        texts = self.base.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(task, f"doc_id {self.kind}, a long, packed binary")
+        found = texts.join(need.withColumnsRenamed({"doc_id": "id_", "a": "a_"}), (F.col("a") == F.col("a_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
+        return write_table(found.groupBy("a").agg(F.first("packed").alias("packed")), "jaccard-texts")
+
+    def late(self, texts: DataFrame, frequent: np.ndarray) -> DataFrame:
+        """(key, a, n, i, f): postings of the classes in ``texts`` from their whole sets."""
+        words, percent, shared = self.words, self.percent, self.spark.sparkContext.broadcast(frequent)
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+            for batch in batches:
+                for a, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    s = shingles(open_.decompress(p.as_py()).decode(), known, words)
+                    yield _posted([(a, len(s), *postings(keys_of(s), len(s), shared.value, percent))])
+
+        return texts.select("a", "packed").mapInArrow(task, "key long, a long, n int, i int, f int")
+
+    def members(self, texts: DataFrame) -> DataFrame:
+        """(head): the keys of the whole set of every class in ``texts``."""
+        words = self.words
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+            for batch in batches:
+                sets = [keys_of(shingles(open_.decompress(p.as_py()).decode(), known, words)) for p in batch.column(0)]
+                offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["head"])
+
+        return texts.select("packed").mapInArrow(task, "head array<long>")
+
+    def index(self, seen: DataFrame, classes: DataFrame) -> DataFrame:
+        """(key, pkey, a, n, i, f, hub, c): the postings of keys with partners, with the smallest of these c partners.
+
+        Shingles outside all heads are not counted with these; those of the classes that need them are counted in a second round.
+        """
+        heads = self.heads(seen, classes)
+        total = seen.agg(F.sum(F.size("head"))).first()[0] or 0
+        frequent = self.heavy(heads, total)
+        short = self.early(heads, frequent).filter("key IS NULL").select("a")
+        inner = self.members(self.fetch(classes, short))
+        frequent = np.union1d(frequent, self.heavy(inner, total))
+        early = self.early(heads, frequent)
+        late = write_table(self.late(self.fetch(classes, early.filter("key IS NULL").select("a")), frequent), "jaccard-late")
+        posted = early.filter("key IS NOT NULL").unionByName(late)
+        hubs = posted.groupBy("key").agg(F.min("a").alias("hub"), F.count(F.lit(1)).alias("c"), F.max("a").alias("other"))
+        found = posted.withColumn("pkey", partner("key")).join(hubs.withColumnRenamed("key", "pkey"), "pkey")
+        return write_table(found.filter("pkey <> key OR hub < other").drop("other"), "jaccard-index")
+
+    def possible(self) -> Column:
+        """Whether sizes (n, m) and positions (i, j) of one shared shingle allow the similarity."""
+        inter = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+        return 100 * inter >= self.percent * (F.col("n") + F.col("m") - inter)
+
+    def enough(self) -> Column:
+        """Whether r shared rare keys, and at most f or g frequent ones, allow the similarity of sizes n, m.
+
+        Let o be the least overlap of a similar pair. The prefix that ends first in the order lies before the other's end, so all of it but
+        n - o shingles (or m - o) is in the other prefix.
+        """
+        def shortest(n: str) -> str:
+            o = f"(({self.percent} * {n} + 99) div 100)"
+            return f"({n} - {o} + least({o}, greatest(2, (3 * {n} + 99) div 100)) - {n})"
+
+        both = f"(({self.percent} * (n + m) + {99 + self.percent}) div {100 + self.percent})"
+        return F.col("pair") | (F.col("r") + F.least("f", "g") >= F.expr(f"least({shortest('n')}, {shortest('m')}) + {both}"))
+
+    def verify(self, pairs: DataFrame, classes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
         """The pairs (u, v) whose sets reach the similarity."""
         words, percent = self.words, self.percent
-        pairs = write_table(pairs.select("u", "v").distinct(), "jaccard-pairs")
-        texts = write_table(self.fetch(classes, pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct()), "jaccard-texts")
+        texts = texts or self.fetch(classes, pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct())
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, open_, last = WordHashes(), zstandard.ZstdDecompressor(), (None, None)
@@ -216,33 +345,58 @@ class Join:
         sides = sides.join(texts.select(F.col("a").alias("v"), F.col("packed").alias("q")), "v").select("u", "v", "p", "q")
         return write_table(sides.mapInArrow(task, "u long, v long"), "jaccard-links")
 
+    def crowds(self, index: DataFrame, classes: DataFrame, links: DataFrame, star: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links, compared pairs) after rounds in which members of crowded keys meet HUBS members of other components each."""
+        crowded = index.filter(F.col("c") > CROWD).select("key", "pkey", "a", "n", "i")
+        texts = None
+        for round_ in range(ROUNDS):
+            rooted = crowded.join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+            rooted = write_table(rooted, "jaccard-crowded")
+            picks = [F.min(F.struct(F.xxhash64(F.lit(round_ * HUBS + k), "a").alias("h"), "a", "n", "i", "root")) for k in range(HUBS)]
+            hubs = rooted.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select(F.col("key").alias("pkey"), F.explode("hubs").alias("h"))
+            hubs = hubs.select("pkey", F.col("h.a").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j"), F.col("h.root").alias("rv"))
+            pairs = rooted.withColumnRenamed("a", "u").join(hubs, "pkey").filter((F.col("root") != F.col("rv")) & self.possible())
+            pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
+            pairs = write_table(pairs, "jaccard-pairs")
+            if pairs.isEmpty():
+                break
+            texts = texts or self.fetch(classes, crowded.select("a").distinct())
+            links = links.unionByName(self.verify(pairs, classes, texts))
+            star = star.unionByName(pairs)
+        return links, star
+
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(rows: doc_id, n_shingles, component_id, n_links), (links: u, v between class ids)."""
-        seen, frequent = self.scan()
-        classes = write_table(seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id")), "jaccard-classes")
-        index = self.index(frequent)
-        hub = index.filter("a = hub").select("key", F.col("a").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"))
-        star = index.filter("a <> hub").select("key", F.col("a").alias("u"), "n", "i").join(hub, "key").filter(_possible(self.percent))
-        links = self.verify(star, classes)
+        seen = self.scan()
+        classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
+        classes = write_table(classes, "jaccard-classes")
+        index = self.index(seen, classes)
+        large = index.filter(F.col("c") >= STAR)
+        ends = index.select(F.col("key").alias("pkey"), F.col("a").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"))
+        star = large.filter("a <> hub").join(ends, ["pkey", "hub"]).filter(self.possible())
+        star = write_table(star.select(F.greatest("a", "hub").alias("u"), F.least("a", "hub").alias("v")).distinct(), "jaccard-pairs")
+        links, star = self.crowds(index, classes, self.verify(star, classes), star)
         roots = components(links)
 
         rooted = index.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-        rooted = write_table(rooted.select("key", "a", "n", "i", "root"), "jaccard-rooted")
-        open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("low")).filter("x < y").select("key")
-        left = rooted.join(open_keys, "key")
-        one = left.select("key", F.col("a").alias("u"), "n", "i", F.col("root").alias("ru"))
-        two = left.select("key", F.col("a").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("rv"))
-        cross = one.join(two, "key").filter((F.col("ru") < F.col("rv")) & _possible(self.percent))
-        tested = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        cross = cross.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+        rooted = write_table(rooted.select("key", "pkey", "a", "n", "i", "f", "root", both_sides("key").alias("both")), "jaccard-rooted")
+        open_keys = rooted.groupBy("both").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("both")
+        left = rooted.join(open_keys, "both").drop("both")
+        other = left.drop("pkey").withColumnsRenamed({"key": "pkey", "a": "v", "n": "m", "i": "j", "f": "g", "root": "rv"})
+        cross = left.withColumnRenamed("a", "u").join(other, "pkey").filter((F.col("root") != F.col("rv")) & (F.col("u") > F.col("v")) & self.possible())
+        cross = cross.groupBy("u", "v").agg(
+            F.first("n").alias("n"), F.first("m").alias("m"), F.first("f").alias("f"), F.first("g").alias("g"),
+            F.sum((F.col("key") >= 0).cast("int")).alias("r"), F.max(F.col("key") < 0).alias("pair"),
+        )
+        cross = write_table(cross.filter(self.enough()).select("u", "v").join(star, ["u", "v"], "left_anti"), "jaccard-pairs")
         links = links.unionByName(self.verify(cross, classes))
         roots = components(links)
 
-        joined = classes.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        joined = classes.drop("c").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
         least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
         ends = links.select(F.col("u").alias("a")).unionByName(links.select(F.col("v").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-        final = write_table(joined.join(least, "root").join(ends, "a", "left").select("a", "b", "n", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "jaccard-final")
-        rows = seen.join(final, ["a", "b", "n"], "left")
+        final = joined.join(least, "root").join(ends, "a", "left").select("a", "b", "n", "component_id", "n_links")
+        rows = seen.select("doc_id", "a", "b", "n").join(write_table(final, "jaccard-final"), ["a", "b", "n"], "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
 

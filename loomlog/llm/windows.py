@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words whose hashes a task keeps.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so invertible modulo 2 ** 64
 
 

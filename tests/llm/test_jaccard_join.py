@@ -46,6 +46,7 @@ def run(spark, rows, words=4, percent=85):
 def test_equals_brute_force_with_frequent_shingles(spark, monkeypatch, length, seed):
     monkeypatch.setattr(jj, "FREQUENT", 3)
     monkeypatch.setattr(jj, "STAR", 4)
+    monkeypatch.setattr(jj, "CROWD", 12)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(40)]
     base = [rng.choices(vocabulary, k=length) for _ in range(5)]
