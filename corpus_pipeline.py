@@ -46,7 +46,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of links (five-word shingles, similarity 0.8): that of the smallest doc_id."""
     docs = _documents(docs)
-    rows = jaccard_join.jaccard_components(docs, words=5, percent=80)
+    rows = jaccard_join.jaccard_components(docs, words=5, percent=80, every=False)  # the links themselves are not used
     stay = rows.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
 

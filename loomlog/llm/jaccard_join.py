@@ -11,10 +11,10 @@ least depends on both sizes; the pairs are made for each band of partner sizes,
 Which shingles are frequent is counted exactly over the heads of the sets (prefixes by hash with some slack). At
 most FREQUENT_KEPT are used, those above a share of the total, so the broadcast list is bounded; any
 choice gives the same links. Where a head holds enough rare shingles it holds the prefix; other
-texts are read again. Keys of one class are dropped. In larger keys all members are compared with the smallest
-one, in crowded ones then with further hubs as long as components differ. What is still in different components
-is compared in every key, but only if sizes, positions and the number of shared keys allow the similarity.
-Pairs are verified on whole sets.
+texts are read again. Keys of one class are dropped. Classes that meet in a key are compared if sizes, positions and the
+number of shared keys allow the similarity; pairs are verified on whole sets, so the links are all there are. Where only
+components are asked for, all members of larger keys are first compared with the smallest one, in crowded ones then
+with further hubs as long as components differ, and after that only what is still in different components.
 """
 
 from __future__ import annotations
@@ -365,12 +365,23 @@ class Join:
             star = star.unionByName(pairs)
         return links, star
 
-    def run(self) -> tuple[DataFrame, DataFrame]:
-        """(rows: doc_id, n_shingles, component_id, n_links), (links: u, v between class ids)."""
-        seen = self.scan()
-        classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
-        classes = write_table(classes, "jaccard-classes")
-        index = self.index(seen, classes)
+    def met(self, rows: DataFrame, other_roots: bool) -> DataFrame:
+        """(u, v), u > v: pairs of classes in ``rows`` of the index that meet in keys and may be similar; of different roots only, if so."""
+        far = (F.col("root") != F.col("rv")) if other_roots else F.lit(True)
+        other = rows.drop("pkey").withColumnsRenamed({"key": "pkey", "a": "v", "n": "m", "i": "j", "f": "g", "root": "rv"})
+        met = rows.withColumnRenamed("a", "u").join(other, "pkey").filter(far & (F.col("u") > F.col("v")) & self.possible())
+        met = met.groupBy("u", "v").agg(
+            F.first("n").alias("n"), F.first("m").alias("m"), F.first("f").alias("f"), F.first("g").alias("g"),
+            F.sum((F.col("key") >= 0).cast("int")).alias("r"), F.max(F.col("key") < 0).alias("pair"),
+        )
+        return met.filter(self.enough()).select("u", "v")
+
+    def every_link(self, index: DataFrame, classes: DataFrame) -> DataFrame:
+        """(u, v) of all similar classes."""
+        return self.verify(write_table(self.met(index.select("key", "pkey", "a", "n", "i", "f"), False), "jaccard-pairs"), classes)
+
+    def linking(self, index: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links (u, v) that connect all classes that links connect; others may be missing."""
         large = index.filter(F.col("c") >= STAR)
         ends = index.select(F.col("key").alias("pkey"), F.col("a").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"))
         star = large.filter("a <> hub").join(ends, ["pkey", "hub"]).filter(self.possible())
@@ -382,14 +393,19 @@ class Join:
         rooted = write_table(rooted.select("key", "pkey", "a", "n", "i", "f", "root", both_sides("key").alias("both")), "jaccard-rooted")
         open_keys = rooted.groupBy("both").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("both")
         left = rooted.join(open_keys, "both").drop("both")
-        other = left.drop("pkey").withColumnsRenamed({"key": "pkey", "a": "v", "n": "m", "i": "j", "f": "g", "root": "rv"})
-        cross = left.withColumnRenamed("a", "u").join(other, "pkey").filter((F.col("root") != F.col("rv")) & (F.col("u") > F.col("v")) & self.possible())
-        cross = cross.groupBy("u", "v").agg(
-            F.first("n").alias("n"), F.first("m").alias("m"), F.first("f").alias("f"), F.first("g").alias("g"),
-            F.sum((F.col("key") >= 0).cast("int")).alias("r"), F.max(F.col("key") < 0).alias("pair"),
-        )
-        cross = write_table(cross.filter(self.enough()).select("u", "v").join(star, ["u", "v"], "left_anti"), "jaccard-pairs")
-        links = links.unionByName(self.verify(cross, classes))
+        cross = write_table(self.met(left, True).join(star, ["u", "v"], "left_anti"), "jaccard-pairs")
+        return links.unionByName(self.verify(cross, classes))
+
+    def run(self, every: bool = True) -> tuple[DataFrame, DataFrame]:
+        """(rows: doc_id, n_shingles, component_id, n_links), (links: u, v between class ids).
+
+        With ``every`` the links are all; without, as many as connect the components, and rows have no n_links.
+        """
+        seen = self.scan()
+        classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
+        classes = write_table(classes, "jaccard-classes")
+        index = self.index(seen, classes)
+        links = (self.every_link if every else self.linking)(index, classes)
         roots = components(links)
 
         joined = classes.drop("c").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
@@ -398,16 +414,17 @@ class Join:
         final = joined.join(least, "root").join(ends, "a", "left").select("a", "b", "n", "component_id", "n_links")
         rows = seen.select("doc_id", "a", "b", "n").join(write_table(final, "jaccard-final"), ["a", "b", "n"], "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), links
+        counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *counted), links
 
 
-def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
+def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and with ``every`` n_links.
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct ``words``-word shingles
     (A-Z lower-cased; a text with fewer words is one shingle). Null, empty and blank texts have none, link
-    with nothing and are their own component. component_id is the smallest id reachable. n_links counts links
-    that were verified between the row's class and other classes; connected classes are not compared again.
-    Repeated rows and equal sets are one class. Null ids are smallest never; a component of them has a null id.
+    with nothing and are their own component. component_id is the smallest id reachable. n_links counts the links
+    between the row's class and other classes. Without ``every`` links inside components are left out where they change
+    no component_id. Repeated rows and equal sets are one class. Null ids are smallest never; a component of them has a null id.
     """
-    return Join(docs, words, percent, id_col, text_col).run()[0]
+    return Join(docs, words, percent, id_col, text_col).run(every)[0]

@@ -93,3 +93,37 @@ def test_token_classes_are_fewer_than_shared_shingles():
                 ends = [jj.prefix_length(x, percent) - x + o for x in (n, m)]
                 shared = max(min(ends), min(jj.needed(x, percent)[1] for x in (n, m)))
                 assert jj.token_classes(jj.band(m), jj.band(n), percent) < shared
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(60)]
+    base, rows = [rng.choices(vocabulary, k=240) for _ in range(3)], []
+    for i in range(120):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    return [*rows, (3, rows[9][1]), (200, rows[5][1].upper()), (201, ""), (202, None), (203, "lonely words")]
+
+
+@pytest.mark.parametrize("low", [False, True])
+def test_all_links_of_near_copies_are_found(spark, monkeypatch, low):
+    if low:
+        for name, value in (("FREQUENT", 3), ("STAR", 4), ("CROWD", 12)):
+            monkeypatch.setattr(jj, name, value)
+    rows = near_copies(3)
+    sets = sets_of(rows, 4)
+    classes = list({frozenset(s) for s in sets if s})
+    near = lambda a, b: a != b and 100 * len(a & b) >= 85 * len(a | b)
+    count = {c: sum(near(c, d) for d in classes) for c in classes}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out, links = jj.Join(df, 4, 85, "doc_id", "text").run()
+    want = sorted(((d, count.get(frozenset(s), 0)) for (d, _), s in zip(rows, sets, strict=True)), key=str)
+    assert sorted(((r.doc_id, r.n_links) for r in out.collect()), key=str) == want
+    pairs = [(r.u, r.v) for r in links.collect()]
+    assert len(set(pairs)) == len(pairs) == sum(count.values()) // 2 > 300
+    few = jj.jaccard_components(df, every=False)
+    assert few.columns == ["doc_id", "n_shingles", "component_id"]
+    key = lambda t: sorted(map(str, t.select("doc_id", "n_shingles", "component_id").collect()))
+    assert key(few) == key(out)
