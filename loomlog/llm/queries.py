@@ -20,7 +20,8 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.derive(warc.responses(table(spark, sf_dir, "pages"))).drop("record")
+    out = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    return out.withColumns({"record_length": F.octet_length("record").cast("long"), "record_sha256": F.sha2("record", 256)}).drop("record")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 import gzip
+import hashlib
 from html.parser import HTMLParser
 
-from loomlog.llm import warc
+from loomlog.llm import queries, warc
 
 
 def test_records_round_trip():
@@ -66,3 +67,12 @@ def test_read_warc_gives_what_was_written(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(warc.serialise([("WARC-Type", "warcinfo")], b"x")) + gzip.compress(warc.serialise(headers, block)))
     (got,) = warc.read_warc(spark, str(tmp_path)).collect()
     assert {k: (bytes(v) if isinstance(v, bytearray) else v) for k, v in got.asDict().items() if k != "page_id"} == r
+
+
+def test_query_tells_length_and_digest_of_each_record(spark, tmp_path):
+    df = spark.createDataFrame([(1, "http://a.example/", "<title>T</title><p>one"), (2, "http://b.example/", None)], "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages.parquet"))
+    records = {r.record_id: r.record for r in warc.derive(warc.responses(df)).collect()}
+    rows = queries.op3_warc(spark, str(tmp_path)).collect()
+    assert {r.record_id: (r.record_length, r.record_sha256) for r in rows} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in records.items()}
+    assert len(rows) == len(records) > 0
