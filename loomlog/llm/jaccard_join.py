@@ -1,20 +1,19 @@
 """N-gram Jaccard self-join with token-combination prefixes.
 
-Documents of equal shingle sets form a class. Shingles are ordered rare ones first, then by hash. Two sets of
-sizes n and m that reach the similarity share o(n) = ceil(percent * n / 100) shingles or more, so their extended
-prefixes of n - o(n) + k(n) and m - o(m) + k(m) share at least k = min(k(n), k(m)), two or more. A class is
-indexed under every rare shingle of its extended prefix. For the case that all the shared ones are
-frequent, these are dealt by hash into token classes, fewer than shared ones: two shared ones fall
-into the same one, so the class is indexed under the pairs within each of them. How many are shared at
-least depends on both sizes; the pairs are made for each band of partner sizes, and their keys name both bands.
-
-Which shingles are frequent is counted exactly over the heads of the sets (prefixes by hash with some slack). At
-most FREQUENT_KEPT are used, those above a share of the total, so the broadcast list is bounded; any
-choice gives the same links. Where a head holds enough rare shingles it holds the prefix; other
-texts are read again. Keys of one class are dropped. Classes that meet in a key are compared if sizes, positions and the
-number of shared keys allow the similarity; pairs are verified on whole sets, so the links are all there are. Where only
-components are asked for, all members of larger keys are first compared with the smallest one, in crowded ones then
-with further hubs as long as components differ, and after that only what is still in different components.
+Documents of equal shingle sets form a class. The shingles of a set are ordered by hash. Two sets of sizes n and m that reach
+the similarity share o(n) = ceil(percent * n / 100) shingles or more, so their extended prefixes of n - o(n) + k(n) and
+m - o(m) + k(m) share at least k = min(k(n), k(m)), two or more; how many exactly depends on both sizes. A shingle in at most
+FREQUENT prefixes is rare and a key by itself. For the case that all shared ones are frequent, the frequent ones of a prefix
+are dealt by hash into token classes, fewer than shared ones: two shared ones fall into the same one, so a class is indexed
+under the pairs within each of them. The pairs are made for each band of partner sizes, and their keys name both bands; a
+prefix with fewer frequent shingles than are shared needs none.
+
+Prefixes go to the buckets of their keys as packed arrays, and a bucket is counted by itself: keys of one class end there,
+classes that meet in a rare key become a pair if sizes and positions allow the similarity, pairs are counted, and those
+with too few shared keys go. Classes that meet in a pair key are connected to one of them only. A shingle that is frequent already
+in what one task has read is sent as one mark, so no key fills a bucket. The components of what is left are read as whole texts and compared
+in blocks of bounded size, each text once for every block of its component. So the links are all there are, but no pair is
+ever a row.
 """
 
 from __future__ import annotations
@@ -26,21 +25,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, bit_filter, filter_cells, passes, slot, write_table
 from .components import components
 from .windows import WordHashes, mixed, rolling
 
-#: Shingles of more than so many classes are frequent, and how many of them are used at most.
+#: Shingles in more prefixes are frequent.
 FREQUENT = 32
-FREQUENT_KEPT = 2**18
-#: Keys of so many classes are first compared with their smallest class.
-STAR = 8
-#: Keys of so many classes are crowded; rounds and hubs a round in them.
-CROWD = 256
-ROUNDS, HUBS = 2, 16
+#: In a block, shingles of more classes are counted by a matrix product, others pair by pair.
+STAR = 64
+#: Most classes and shingles of a block. Both bound its memory, neither changes a result.
+CROWD = 1024
+BLOCK_SHINGLES = 2**18
+#: Entries that a task packs at a time, and the mean number of them in a bucket.
+PACKED = 2**20
+BUCKET = 2**17
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.04
 #: Bits of a shingle's hash, from the top, that a key has.
@@ -104,9 +105,8 @@ def keys_of(s: np.ndarray) -> np.ndarray:
 
 
 def head(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the extended prefix by hash, and some more."""
-    n = len(s)
-    return keys_of(s[: prefix_length(n, percent) + max(16, -(-8 * n // 100))] if n > 1 else s)
+    """Keys of the extended prefix; none for a set of one shingle, which is similar to no other."""
+    return keys_of(s[: prefix_length(len(s), percent)]) if len(s) > 1 else np.zeros(0, dtype=np.int64)
 
 
 def among(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -116,8 +116,8 @@ def among(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
 
 
-def pairs_within(keys: np.ndarray, classes: int, tag: int) -> tuple[np.ndarray, np.ndarray]:
-    """(combined key, place of the first one) of every pair of keys in the same one of so many token classes."""
+def pairs_within(keys: np.ndarray, classes: int, tag: int) -> np.ndarray:
+    """Combined key of every pair of keys in the same one of so many token classes."""
     groups = mixed(keys.view(np.uint64), 0xC0B0) % np.uint64(classes)
     order = np.argsort(groups, kind="stable")
     size = np.unique(groups, return_counts=True)[1]
@@ -125,56 +125,219 @@ def pairs_within(keys: np.ndarray, classes: int, tag: int) -> tuple[np.ndarray,
     one = np.repeat(np.arange(len(keys)), rest)
     two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(rest) - rest, rest)
     one, two = order[one], order[two]
-    return mixed(mixed(keys[one].view(np.uint64), 0xC0B1 + tag) ^ keys[two].view(np.uint64), 0xC0B2), one
-
-
-def postings(keys: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int] | None:
-    """(index keys, positions of each key's first shingle, frequent shingles) of the extended prefix, rare ones first.
-
-    Keys of pairs are negative. Their last two bits are 0 if the bands are the same, else 2 for the lower band's side and
-    3 for the other one's, see ``partner``. ``keys`` are those of the whole set or its first ones by hash; None if the latter are too few. Keys of pairs are negative.
-    """
-    often, length = among(keys, frequent), prefix_length(n, percent)
-    rare = keys[~often][:length]
-    if len(rare) < length and len(keys) < n:
-        return None
-    rest = keys[often][: length - len(rare)]
-    made, places = [rare], [np.arange(len(rare))]
-    if len(rest) > 1:
-        own = band(n)
-        for other in range(band(max(2, -(-percent * n // 100))), band(100 * n // percent) + 1):
-            x, y = min(own, other), max(own, other)
-            k, p = pairs_within(rest, token_classes(x, y, percent), x << 20 | y << 4)
-            side = 0 if x == y else 2 + (own == y)
-            made.append((k & np.uint64(2**63 - 4) | np.uint64(2**63 + side)).view(np.int64))
-            places.append(len(rare) + p)
-    return np.concatenate(made), np.concatenate(places).astype(np.int32), len(rest)
-
-
-def partner(key: str) -> Column:
-    """The key under which partners of a key's classes are found: the other side's, or the key itself."""
-    return F.when((F.col(key) < 0) & (F.col(key).bitwiseAND(2) == 2), F.col(key).bitwiseXOR(1)).otherwise(F.col(key))
-
-
-def both_sides(key: str) -> Column:
-    """One value for a key and its partner."""
-    return F.when(F.col(key) < 0, F.col(key).bitwiseAND(-2)).otherwise(F.col(key))
-
-
-def _signed(a: np.ndarray) -> pa.Array:
-    return pa.array(a.view(np.int64))
-
-
-_POSTED = ["key", "a", "n", "i", "f"]
-
-
-def _posted(found: list[tuple[int, int, np.ndarray, np.ndarray, int]]) -> pa.RecordBatch:
-    """A batch of postings from (a, n, keys, positions, frequent)."""
-    keys = [x[2] for x in found]
-    spread = lambda values, kind: pa.array(np.repeat(np.array(values, dtype=kind), list(map(len, keys))))
-    a, n, f = spread([x[0] for x in found], np.int64), spread([x[1] for x in found], np.int32), spread([x[4] for x in found], np.int32)
-    joined = [pa.array(np.concatenate([np.zeros(0, k), *xs])) for k, xs in ((np.int64, keys), (np.int32, [x[3] for x in found]))]
-    return pa.RecordBatch.from_arrays([joined[0], a, n, joined[1], f], _POSTED)
+    return keys_of(mixed(mixed(keys[one].view(np.uint64), 0xC0B1 + tag) ^ keys[two].view(np.uint64), 0xC0B2))
+
+
+def combinations(often: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """Pair keys of the frequent keys (in order) of the extended prefix of a set of size n, for every band of partners."""
+    own, made = band(n), [np.zeros(0, dtype=np.int64)]
+    for other in range(band(max(2, -(-percent * n // 100))), band(100 * n // percent) + 1):
+        x, y = min(own, other), max(own, other)
+        classes = token_classes(x, y, percent)
+        if len(often) > classes:  # else one of the shared ones is rare
+            made.append(pairs_within(often, classes, x << 20 | y << 4))
+    return np.concatenate(made)
+
+
+def postings(keys: np.ndarray, n: int, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """(index keys, frequent shingles) of the extended prefix of a set with these keys; keys of pairs are negative."""
+    keys = keys[: prefix_length(n, percent)]
+    often = among(keys, frequent)
+    return np.concatenate([keys[~often], -4 * (1 + combinations(keys[often], n, percent))]), int(often.sum())
+
+
+def shared_least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """What similar sets of sizes n and m share at least in their extended prefixes."""
+    def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        o = (percent * x + 99) // 100
+        k = np.minimum(o, np.maximum(2, (3 * x + 99) // 100))
+        return k, k - o
+
+    (k, i), (l, j) = of(n), of(m)
+    both = (percent * (n + m) + 99 + percent) // (100 + percent)
+    return np.maximum(np.minimum(i, j) + both, np.minimum(k, l))
+
+
+#: Packed entries of a bucket: 6 bytes a key, differences of the ascending class ids in 2 (larger ones in ``jumps``), sizes and positions in 2 or 4.
+PACK = "bucket long, first long, keys binary, ids binary, jumps binary, sizes binary, spots binary, marks binary"
+
+
+def six(keys: np.ndarray) -> bytes:
+    """Keys of 48 bits in six bytes each."""
+    return np.ascontiguousarray(keys.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def from_six(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<i8").ravel()
+
+
+def narrow(x: np.ndarray) -> bytes:
+    return x.astype("<u2" if not len(x) or x.max() < 2**16 else "<u4").tobytes()
+
+
+def widen(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if len(data) == 2 * count else "<u4").astype(np.int64)
+
+
+def packed(buckets: int, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, spots: np.ndarray, marks: np.ndarray) -> Iterator[tuple]:
+    """Rows of PACK. Entries in any order, marks are keys."""
+    place = mixed(keys.view(np.uint64), 0xB0CC) % np.uint64(buckets)
+    order = np.lexsort((ids, place))
+    place, keys, ids, sizes, spots = (x[order] for x in (place, keys, ids, sizes, spots))
+    at = mixed(marks.view(np.uint64), 0xB0CC) % np.uint64(buckets)
+    order = np.argsort(at)
+    at, marks = at[order], marks[order]
+    for b in np.unique(np.concatenate([place, at])):
+        i, j = np.searchsorted(place, [b, b + np.uint64(1)])
+        k, m = np.searchsorted(at, [b, b + np.uint64(1)])
+        first = ids[i] if i < j else 0
+        steps = np.diff(ids[i:j], prepend=first)
+        far = np.flatnonzero(steps >= 2**16)
+        jumps = np.stack([far, steps[far]], axis=1).astype("<i8").tobytes()
+        steps[far] = 0
+        yield int(b), int(first), six(keys[i:j]), steps.astype("<u2").tobytes(), jumps, narrow(sizes[i:j]), narrow(spots[i:j]), six(marks[k:m])
+
+
+def unpacked(first: int, keys: bytes, ids: bytes, jumps: bytes, sizes: bytes, spots: bytes, marks: bytes) -> tuple[np.ndarray, ...]:
+    """(keys, ids, sizes, positions, marks) of a row."""
+    steps = np.frombuffer(ids, "<u2").astype(np.int64)
+    far = np.frombuffer(jumps, "<i8").reshape(-1, 2)
+    steps[far[:, 0]] = far[:, 1]
+    n = len(steps)
+    return from_six(keys), first + np.cumsum(steps), widen(sizes, n), widen(spots, n), from_six(marks)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(values of the columns ``names``, rows) of every group of sorted batches, one group at a time in memory."""
+    now, parts = None, []
+    for batch in batches:
+        codes = np.zeros(batch.num_rows, dtype=bool)
+        columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+        for x in columns:
+            codes[1:] |= x[1:] != x[:-1]
+        cuts = [0, *np.flatnonzero(codes).tolist(), batch.num_rows]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            key = tuple(int(x[i]) for x in columns)
+            if key != now:
+                if parts:
+                    yield now, pa.Table.from_batches(parts)
+                now, parts = key, []
+            parts.append(batch.slice(i, j - i))
+    if parts:
+        yield now, pa.Table.from_batches(parts)
+
+
+def by_key(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, counts) of the groups of equal keys."""
+    order = np.argsort(keys, kind="stable")
+    s = keys[order]
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, dtype=np.int64)
+    return order, starts, np.diff(np.append(starts, len(s)))
+
+
+def within(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, places) of all pairs in adjacent groups of so many members, one distance after another."""
+    ends = np.repeat(np.cumsum(counts), counts)
+    here = np.arange(len(ends))
+    for step in range(1, int(counts.max(initial=0))):
+        here = here[here + step < ends[here]]
+        yield here, here + step
+
+
+def labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest place in the component of each of n places under the edges (u, v)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[u], root[v])
+        new = root.copy()
+        np.minimum.at(new, root[u], low)
+        np.minimum.at(new, root[v], low)
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def connected(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, smallest id of their component) where ids that have a key in common are connected."""
+    names, at = np.unique(ids, return_inverse=True)
+    order, starts, counts = by_key(keys)
+    at = at[order]
+    return names, names[labels(len(names), at, np.repeat(at[starts], counts))]
+
+
+def meetings(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, i: np.ndarray, marks: np.ndarray, limit: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of one bucket: pairs (u, v, least shared, times met in rare keys), u > v, and entries (id, key, n) of frequent keys."""
+    order, starts, counts = by_key(keys)
+    often = (counts > limit) | among(keys[order][starts], np.unique(marks))
+    hot = order[np.repeat(often, counts)]
+    rare = order[np.repeat(~often & (counts > 1), counts)]
+    u, v, need = [], [], []
+    for x, y in within(counts[~often & (counts > 1)]):
+        x, y = rare[x], rare[y]
+        most = np.minimum(i[x], i[y]) + np.minimum(n[x] - i[x], n[y] - i[y])
+        good = (100 * most >= percent * (n[x] + n[y] - most)) & (ids[x] != ids[y])
+        x, y = x[good], y[good]
+        u.append(np.maximum(ids[x], ids[y]))
+        v.append(np.minimum(ids[x], ids[y]))
+        need.append(shared_least(n[x], n[y], percent))
+    u, v, need = (np.concatenate([np.zeros(0, dtype=np.int64), *z]) for z in (u, v, need))
+    order = np.lexsort((v, u))
+    u, v, need = u[order], v[order], need[order]
+    new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, dtype=np.int64)
+    return [u[new], v[new], need[new], np.diff(np.append(new, len(u)))], [ids[hot], keys[hot], n[hot]]
+
+
+def overlaps(sets: list[np.ndarray], limit: int) -> np.ndarray:
+    """Sizes of the intersections of a bounded number of sets; only what is above the diagonal counts."""
+    size = len(sets)
+    hashes, owner = np.concatenate(sets), np.repeat(np.arange(size), list(map(len, sets)))
+    order, _, counts = by_key(hashes)
+    owner, dense = owner[order], counts > limit
+    few = owner[np.repeat(~dense & (counts > 1), counts)]  # ascending within a group, as the sort is stable
+    out = np.zeros(size * size, dtype=np.float32)
+    for x, y in within(counts[~dense & (counts > 1)]):
+        np.add.at(out, few[x] * size + few[y], 1)
+    out = out.reshape(size, size)
+    many, column, columns = owner[np.repeat(dense, counts)], np.repeat(np.arange(dense.sum()), counts[dense]), int(dense.sum())
+    for low in range(0, columns, 2048):
+        part, held = (column >= low) & (column < low + 2048), np.zeros((size, min(2048, columns - low)), dtype=np.float32)
+        held[many[part], column[part] - low] = 1
+        out += held @ held.T
+    return out
+
+
+def linked(sets: list[np.ndarray], left: np.ndarray | None, percent: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (u, v), u > v, of the similar pairs; with ``left`` only of pairs of which one is left."""
+    n = np.array(list(map(len, sets)), dtype=np.int32)
+    both = overlaps(sets, limit).astype(np.int32)
+    v, u = np.nonzero(100 * both >= percent * (n[:, None] + n[None, :] - both))
+    good = (v < u) if left is None else (v < u) & (left[u] != left[v])
+    return u[good], v[good]
+
+
+_NAMES = [x.split()[0] for x in PACK.split(", ")]
+_KINDS = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.binary()) for x in PACK.split(", ")])
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of PACK as a batch."""
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], _KINDS.types[k]) for k in range(len(_NAMES))], _NAMES)
+
+
+def _joined(found: list[tuple[np.ndarray, ...]]) -> list[np.ndarray]:
+    return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+
+def _of_group(group: pa.Table) -> list[np.ndarray]:
+    """(keys, ids, sizes, positions, marks) of all rows of a bucket."""
+    return _joined([unpacked(*row) for row in zip(*(group.column(n).to_pylist() for n in _NAMES[1:]), strict=True)])
 
 
 class Join:
@@ -183,13 +346,13 @@ class Join:
     def __init__(self, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> None:
         self.spark = docs.sparkSession
         arrow_limits(self.spark)
-        self.words, self.percent = words, percent
+        self.words, self.percent, self.limit, self.dense, self.crowd = words, percent, FREQUENT, STAR, CROWD
         self.kind = docs.schema[id_col].dataType.simpleString()
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-        self.base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+        self.base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
     def scan(self) -> DataFrame:
-        """(doc_id, a, b, n, head) of every row: its class, set size and first keys."""
+        """(row, doc_id, t, a, b, n, head) of every row: its number, the hash of its text, its set's signature, size and first keys."""
         words, percent = self.words, self.percent
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,224 +360,196 @@ class Join:
             for batch in batches:
                 sets = [shingles(t.as_py(), known, words) for t in batch.column(1)]
                 signed = [signature(s) for s in sets]
-                heads = [head(s, percent) for s in sets]
-                offsets = np.append(0, np.cumsum([len(x) for x in heads])).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *heads])))
                 a, b = (pa.array([x[k] for x in signed], pa.int64()) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), a, b, pa.array(list(map(len, sets)), pa.int64()), listed], ["doc_id", "a", "b", "n", "head"])
+                heads = pa.array([six(head(s, percent)) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), a, b, pa.array(list(map(len, sets)), pa.int64()), heads], ["doc_id", "t", "a", "b", "n", "head"])
 
-        return write_table(self.base.mapInArrow(task, f"doc_id {self.kind}, a long, b long, n long, head array<long>"), "jaccard-scan")
+        seen = self.base.mapInArrow(task, f"doc_id {self.kind}, t long, a long, b long, n long, head binary")
+        return write_table(seen.select(F.monotonically_increasing_id().alias("row"), "*"), "jaccard-scan")
 
     def heads(self, seen: DataFrame, classes: DataFrame) -> DataFrame:
-        """(a, n, head), one row per class of several shingles.
+        """(id, n, head), one row per class of several shingles; id is the class's smallest row.
 
         Only rows that a filter of fixed size takes for members of a larger class are shuffled to drop repeats.
         """
         several = seen.filter("n > 1")
         cells = F.broadcast(filter_cells(classes.filter("c > 1"), "a"))  # at most FILTER_BITS / 64 rows
         told = several.withColumn("slot_", slot("a")).withColumn("cell", F.expr("int(slot_ div 64)")).join(cells, "cell", "left")
-        told = told.withColumn("again", F.expr("coalesce(shiftright(bits, int(slot_ % 64)) & 1L, 0L) = 1L")).select("a", "b", "n", "head", "again")
-        once = told.filter("again").groupBy("a", "b", "n").agg(F.first("head").alias("head"))
-        return told.filter("NOT again").select("a", "n", "head").unionByName(once.select("a", "n", "head"))
-
-    def heavy(self, heads: DataFrame, total: int) -> np.ndarray:
-        """Sorted keys in more than FREQUENT heads and more than 1 / FREQUENT_KEPT of all entries: fewer than FREQUENT_KEPT."""
-        counts = heads.select(F.explode("head").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-        rows = counts.filter(F.col("c") > max(FREQUENT, total // FREQUENT_KEPT)).select("key").collect()
-        return np.sort(np.array([r[0] for r in rows], dtype=np.int64))
-
-    def early(self, heads: DataFrame, frequent: np.ndarray) -> DataFrame:
-        """(key, a, n, i, f): postings of the classes whose heads hold their prefix; a row without key for each other one."""
-        percent, shared = self.percent, self.spark.sparkContext.broadcast(frequent)
+        told = told.withColumn("again", F.expr("coalesce(shiftright(bits, int(slot_ % 64)) & 1L, 0L) = 1L")).select("row", "a", "b", "n", "head", "again")
+        once = told.filter("again").groupBy("a", "b", "n").agg(F.min("row").alias("row"), F.first("head").alias("head"))
+        return told.filter("NOT again").select("row", "n", "head").unionByName(once.select("row", "n", "head")).withColumnRenamed("row", "id")
+
+    def entered(self, heads: DataFrame, buckets: int) -> DataFrame:
+        """The prefixes' entries as rows of PACK; those of keys that one task has found frequent are in buckets below 0."""
+        limit = self.limit
+
+        def rows(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            keys, ids, sizes, spots = _joined(found)
+            order, starts, counts = by_key(keys)
+            hot = np.zeros(len(keys), dtype=bool)
+            hot[order] = np.repeat(counts > limit, counts)
+            out = list(packed(buckets, keys[~hot], ids[~hot], sizes[~hot], spots[~hot], keys[order][starts[counts > limit]]))
+            known = packed(1, keys[hot], ids[hot], sizes[hot], spots[hot], keys[:0])
+            return batch_of(out + [(-1 - row[1] % buckets, *row[1:]) for row in known])
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, held = [], 0
             for batch in batches:
-                found, short = [], []
-                for a, n, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                    p = postings(h.values.to_numpy(), n, shared.value, percent)
-                    if p is None:
-                        short.append(a)
-                    else:
-                        found.append((a, n, *p))
-                yield _posted(found)
-                none = pa.nulls(len(short), pa.int64())
-                less = pa.nulls(len(short), pa.int32())
-                yield pa.RecordBatch.from_arrays([none, pa.array(short, pa.int64()), less, less, less], _POSTED)
-
-        return write_table(heads.select("a", "n", "head").mapInArrow(task, "key long, a long, n int, i int, f int"), "jaccard-early")
-
-    def fetch(self, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-        """(a, packed): one compressed text of each class in ``wanted`` (a), found by the class's smallest id."""
-        words = self.words
-        need = write_table(classes.select("doc_id", "a").join(wanted, "a", "left_semi"), "jaccard-need")
-        field = self.spark.sparkContext.broadcast(bit_filter(need, "doc_id"))
+                keys = [from_six(h.as_py()) for h in batch.column(2)]
+                lengths = np.array(list(map(len, keys)), dtype=np.int64)
+                spots = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                found.append((np.concatenate([np.zeros(0, np.int64), *keys]), *(np.repeat(batch.column(k).to_numpy(), lengths) for k in (0, 1)), spots))
+                held += len(spots)
+                if held >= PACKED:
+                    yield rows(found)
+                    found, held = [], 0
+            if held:
+                yield rows(found)
+
+        return heads.select("id", "n", "head").mapInArrow(task, PACK)
+
+    def met(self, heads: DataFrame, buckets: int) -> DataFrame:
+        """Rows of two kinds. 0: classes x > y met w times in rare keys and must share z or more. 1: class x of size z has the frequent key y."""
+        limit, percent, names = self.limit, self.percent, ["kind", "x", "y", "z", "w"]
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, squeeze = WordHashes(), zstandard.ZstdCompressor(level=3)
-            for batch in batches:
-                batch = batch.filter(pa.array(passes(field.value, batch.column(2).to_numpy())))
-                texts = [t.as_py() for t in batch.column(1)]
-                a = pa.array([signature(shingles(t, known, words))[0] for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), a, pa.array([squeeze.compress(t.encode()) for t in texts], pa.binary())], ["doc_id", "a", "packed"])
-
-        texts = self.base.select("doc_id", "text", slot("doc_id").alias("slot")).mapInArrow(task, f"doc_id {self.kind}, a long, packed binary")
-        found = texts.join(need.withColumnsRenamed({"doc_id": "id_", "a": "a_"}), (F.col("a") == F.col("a_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
-        return write_table(found.groupBy("a").agg(F.first("packed").alias("packed")), "jaccard-texts")
-
-    def late(self, texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-        """(key, a, n, i, f): postings of the classes in ``texts`` from their whole sets."""
-        words, percent, shared = self.words, self.percent, self.spark.sparkContext.broadcast(frequent)
+            for (bucket,), group in grouped(batches, ("bucket",)):
+                keys, ids, sizes, spots, marks = _of_group(group)
+                met, often = meetings(keys, ids, sizes, spots, marks, limit, percent) if bucket >= 0 else ([], [ids, keys, sizes])
+                if met:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(met[0]), np.int32)), *map(pa.array, met)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(often[0]), np.int32)), *map(pa.array, often), pa.array(np.ones(len(often[0]), np.int64))], names)
+
+        dealt = self.entered(heads, buckets).repartition("bucket").sortWithinPartitions("bucket")
+        return write_table(dealt.mapInArrow(task, "kind int, x long, y long, z long, w long"), "jaccard-met")
+
+    def pairs(self, met: DataFrame) -> DataFrame:
+        """(u, v): pairs whose shared rare keys, with as many frequent ones as both have at most, are enough."""
+        pairs = met.filter("kind = 0").groupBy(F.col("x").alias("u"), F.col("y").alias("v"), F.col("z").alias("least")).agg(F.sum("w").alias("r"))
+        often = met.filter("kind = 1").groupBy("x").agg(F.count(F.lit(1)).alias("f"))
+        less = pairs.filter("r < least").join(often.withColumnRenamed("x", "u"), "u").withColumnRenamed("f", "g").join(often.withColumnRenamed("x", "v"), "v")
+        return pairs.filter("r >= least").select("u", "v").unionByName(less.filter("r + least(f, g) >= least").select("u", "v"))
+
+    def combined(self, met: DataFrame, buckets: int) -> DataFrame:
+        """(u, v) that connect all classes with a pair key in common.
+
+        A task connects its own classes first and sends one class for each key.
+        """
+        percent = self.percent
+
+        def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            keys, ids = _joined(found)
+            names, roots = connected(keys, ids)
+            keys, at = np.unique(keys, return_index=True)
+            ids, zero = roots[np.searchsorted(names, ids[at])], np.zeros(len(keys), dtype=np.int64)
+            own = names != roots
+            edges = [(-1 - int(names[0]) % buckets, 0, *(x[own].astype("<i8").tobytes() for x in (names, roots)), *[b""] * 4)] if own.any() else []
+            return batch_of([*packed(buckets, keys, ids, zero, zero, keys[:0]), *edges])
+
+        def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, held = [], 0
+            for (name, n), group in grouped(batches, ("x", "z")):
+                keys = combinations(group.column("y").to_numpy(), n, percent)
+                if len(keys):
+                    found.append((keys, np.full(len(keys), name)))
+                    held += len(keys)
+                if held >= PACKED:
+                    yield rows(found)
+                    found, held = [], 0
+            if held:
+                yield rows(found)
+
+        def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (bucket,), group in grouped(batches, ("bucket",)):
+                if bucket < 0:
+                    u, v = (np.frombuffer(b"".join(group.column(k).to_pylist()), "<i8") for k in ("keys", "ids"))
+                else:
+                    u, v = connected(*_of_group(group)[:2])
+                    u, v = u[u != v], v[u != v]
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        often = met.filter("kind = 1").select("x", "y", "z").repartition("x").sortWithinPartitions("x", "y")
+        return often.mapInArrow(combine, PACK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(connect, "u long, v long")
+
+    def blocks(self, classes: DataFrame, roots: DataFrame) -> DataFrame:
+        """(root, i, j, id, mine, parts, packed): the compressed text of every class, for each pair of blocks that its own block is in.
+
+        A component is dealt to ``parts`` blocks by hash; ``mine`` says whether the class is in block i.
+        """
+        members = classes.join(roots.withColumnRenamed("node", "id"), "id").select("id", "n", "root", F.col("rep.doc_id").alias("id_"), F.col("rep.t").alias("t_"))
+        parts = F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / self.crowd)).cast("long")
+        members = write_table(members.join(members.groupBy("root").agg(parts.alias("parts")), "root"), "jaccard-members")
+        field = self.spark.sparkContext.broadcast(bit_filter(members, "t_"))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+            squeeze = zstandard.ZstdCompressor(level=3)
             for batch in batches:
-                for a, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    s = shingles(open_.decompress(p.as_py()).decode(), known, words)
-                    yield _posted([(a, len(s), *postings(keys_of(s), len(s), shared.value, percent))])
-
-        return texts.select("a", "packed").mapInArrow(task, "key long, a long, n int, i int, f int")
-
-    def members(self, texts: DataFrame) -> DataFrame:
-        """(head): the keys of the whole set of every class in ``texts``."""
-        words = self.words
-
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+                batch = batch.filter(pa.array(passes(field.value, batch.column(3).to_numpy())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([squeeze.compress(t.as_py().encode()) for t in batch.column(1)], pa.binary())], ["doc_id", "t", "packed"])
+
+        texts = self.base.select("doc_id", "text", "t", slot("t").alias("slot")).mapInArrow(task, f"doc_id {self.kind}, t long, packed binary")
+        found = texts.join(members, (F.col("t") == F.col("t_")) & F.col("doc_id").eqNullSafe(F.col("id_")))
+        own = F.pmod(F.xxhash64("id"), F.col("parts"))
+        found = found.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        i, j = F.least("own", "other"), F.greatest("own", "other")
+        return found.select("root", i.alias("i"), j.alias("j"), "id", (F.col("own") == i).alias("mine"), "parts", "packed")
+
+    def compared(self, blocks: DataFrame, every: bool) -> DataFrame:
+        """(id, root, n_links, links, parts) of every class in a pair of blocks: the smallest class that links in it connect it to,
+        its links in it, and (with ``every``) those to smaller classes."""
+        words, percent, dense = self.words, self.percent, self.dense
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last = None  # repeated rows of one text are next to each other
             for batch in batches:
-                sets = [keys_of(shingles(open_.decompress(p.as_py()).decode(), known, words)) for p in batch.column(0)]
-                offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["head"])
-
-        return texts.select("packed").mapInArrow(task, "head array<long>")
-
-    def index(self, seen: DataFrame, classes: DataFrame) -> DataFrame:
-        """(key, pkey, a, n, i, f, hub, c): the postings of keys with partners, with the smallest of these c partners.
-
-        Shingles outside all heads are not counted with these; those of the classes that need them are counted in a second round.
-        """
-        heads = self.heads(seen, classes)
-        total = seen.agg(F.sum(F.size("head"))).first()[0] or 0
-        frequent = self.heavy(heads, total)
-        short = self.early(heads, frequent).filter("key IS NULL").select("a")
-        inner = self.members(self.fetch(classes, short))
-        frequent = np.union1d(frequent, self.heavy(inner, total))
-        early = self.early(heads, frequent)
-        late = write_table(self.late(self.fetch(classes, early.filter("key IS NULL").select("a")), frequent), "jaccard-late")
-        posted = early.filter("key IS NOT NULL").unionByName(late)
-        hubs = posted.groupBy("key").agg(F.min("a").alias("hub"), F.count(F.lit(1)).alias("c"), F.max("a").alias("other"))
-        found = posted.withColumn("pkey", partner("key")).join(hubs.withColumnRenamed("key", "pkey"), "pkey")
-        return write_table(found.filter("pkey <> key OR hub < other").drop("other"), "jaccard-index")
-
-    def possible(self) -> Column:
-        """Whether sizes (n, m) and positions (i, j) of one shared shingle allow the similarity."""
-        inter = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-        return 100 * inter >= self.percent * (F.col("n") + F.col("m") - inter)
-
-    def enough(self) -> Column:
-        """Whether r shared rare keys, and at most f or g frequent ones, allow the similarity of sizes n, m.
-
-        Let o be the least overlap of a similar pair. The prefix that ends first in the order lies before the other's end, so all of it but
-        n - o shingles (or m - o) is in the other prefix.
-        """
-        def shortest(n: str) -> str:
-            o = f"(({self.percent} * {n} + 99) div 100)"
-            return f"({n} - {o} + least({o}, greatest(2, (3 * {n} + 99) div 100)) - {n})"
-
-        both = f"(({self.percent} * (n + m) + {99 + self.percent}) div {100 + self.percent})"
-        return F.col("pair") | (F.col("r") + F.least("f", "g") >= F.expr(f"least({shortest('n')}, {shortest('m')}) + {both}"))
-
-    def verify(self, pairs: DataFrame, classes: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-        """The pairs (u, v) whose sets reach the similarity."""
-        words, percent = self.words, self.percent
-        texts = texts or self.fetch(classes, pairs.select(F.col("u").alias("a")).union(pairs.select("v")).distinct())
+                names = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))
+                new = [x != y for x, y in zip(names, [last, *names], strict=False)]
+                last = names[-1] if names else last
+                yield batch if all(new) else batch.filter(pa.array(new, pa.bool_()))
 
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known, open_, last = WordHashes(), zstandard.ZstdDecompressor(), (None, None)
-            unpack = lambda p: shingles(open_.decompress(p.as_py()).decode(), known, words)
-            for batch in batches:
-                good = []
-                for v, p, q in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                    if last[0] != v:
-                        last = v, unpack(q)
-                    x, y = unpack(p), last[1]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-        sides = pairs.join(texts.select(F.col("a").alias("u"), F.col("packed").alias("p")), "u")
-        sides = sides.join(texts.select(F.col("a").alias("v"), F.col("packed").alias("q")), "v").select("u", "v", "p", "q")
-        return write_table(sides.mapInArrow(task, "u long, v long"), "jaccard-links")
-
-    def crowds(self, index: DataFrame, classes: DataFrame, links: DataFrame, star: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(links, compared pairs) after rounds in which members of crowded keys meet HUBS members of other components each."""
-        crowded = index.filter(F.col("c") > CROWD).select("key", "pkey", "a", "n", "i")
-        texts = None
-        for round_ in range(ROUNDS):
-            rooted = crowded.join(components(links).withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-            rooted = write_table(rooted, "jaccard-crowded")
-            picks = [F.min(F.struct(F.xxhash64(F.lit(round_ * HUBS + k), "a").alias("h"), "a", "n", "i", "root")) for k in range(HUBS)]
-            hubs = rooted.groupBy("key").agg(F.array_distinct(F.array(*picks)).alias("hubs")).select(F.col("key").alias("pkey"), F.explode("hubs").alias("h"))
-            hubs = hubs.select("pkey", F.col("h.a").alias("v"), F.col("h.n").alias("m"), F.col("h.i").alias("j"), F.col("h.root").alias("rv"))
-            pairs = rooted.withColumnRenamed("a", "u").join(hubs, "pkey").filter((F.col("root") != F.col("rv")) & self.possible())
-            pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().join(star, ["u", "v"], "left_anti")
-            pairs = write_table(pairs, "jaccard-pairs")
-            if pairs.isEmpty():
-                break
-            texts = texts or self.fetch(classes, crowded.select("a").distinct())
-            links = links.unionByName(self.verify(pairs, classes, texts))
-            star = star.unionByName(pairs)
-        return links, star
-
-    def met(self, rows: DataFrame, other_roots: bool) -> DataFrame:
-        """(u, v), u > v: pairs of classes in ``rows`` of the index that meet in keys and may be similar; of different roots only, if so."""
-        far = (F.col("root") != F.col("rv")) if other_roots else F.lit(True)
-        other = rows.drop("pkey").withColumnsRenamed({"key": "pkey", "a": "v", "n": "m", "i": "j", "f": "g", "root": "rv"})
-        met = rows.withColumnRenamed("a", "u").join(other, "pkey").filter(far & (F.col("u") > F.col("v")) & self.possible())
-        met = met.groupBy("u", "v").agg(
-            F.first("n").alias("n"), F.first("m").alias("m"), F.first("f").alias("f"), F.first("g").alias("g"),
-            F.sum((F.col("key") >= 0).cast("int")).alias("r"), F.max(F.col("key") < 0).alias("pair"),
-        )
-        return met.filter(self.enough()).select("u", "v")
-
-    def every_link(self, index: DataFrame, classes: DataFrame) -> DataFrame:
-        """(u, v) of all similar classes."""
-        return self.verify(write_table(self.met(index.select("key", "pkey", "a", "n", "i", "f"), False), "jaccard-pairs"), classes)
-
-    def linking(self, index: DataFrame, classes: DataFrame) -> DataFrame:
-        """Links (u, v) that connect all classes that links connect; others may be missing."""
-        large = index.filter(F.col("c") >= STAR)
-        ends = index.select(F.col("key").alias("pkey"), F.col("a").alias("hub"), F.col("n").alias("m"), F.col("i").alias("j"))
-        star = large.filter("a <> hub").join(ends, ["pkey", "hub"]).filter(self.possible())
-        star = write_table(star.select(F.greatest("a", "hub").alias("u"), F.least("a", "hub").alias("v")).distinct(), "jaccard-pairs")
-        links, star = self.crowds(index, classes, self.verify(star, classes), star)
-        roots = components(links)
-
-        rooted = index.join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-        rooted = write_table(rooted.select("key", "pkey", "a", "n", "i", "f", "root", both_sides("key").alias("both")), "jaccard-rooted")
-        open_keys = rooted.groupBy("both").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("both")
-        left = rooted.join(open_keys, "both").drop("both")
-        cross = write_table(self.met(left, True).join(star, ["u", "v"], "left_anti"), "jaccard-pairs")
-        return links.unionByName(self.verify(cross, classes))
+            known, open_ = WordHashes(), zstandard.ZstdDecompressor()
+            for (_, i, j), group in grouped(once(batches), ("root", "i", "j")):
+                sets = [shingles(open_.decompress(p.as_py()).decode(), known, words) for p in group.column("packed")]
+                ids = group.column("id").to_numpy()
+                u, v = linked(sets, None if i == j else group.column("mine").to_numpy(), percent, dense)
+                roots = ids[labels(len(ids), u, v)]
+                counts = np.bincount(u, minlength=len(ids)) + np.bincount(v, minlength=len(ids))
+                order = np.argsort(u, kind="stable")
+                ends = np.append(0, np.cumsum(np.bincount(u, minlength=len(ids)))).astype(np.int32) if every else np.zeros(len(ids) + 1, np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[v[order]] if every else ids[:0]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(roots), pa.array(counts.astype(np.int64)), lists, pa.array(group.column("parts").to_numpy())], ["id", "root", "n_links", "links", "parts"])
+
+        dealt = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
+        return write_table(dealt.mapInArrow(task, "id long, root long, n_links long, links array<long>, parts long"), "jaccard-compared")
 
     def run(self, every: bool = True) -> tuple[DataFrame, DataFrame]:
         """(rows: doc_id, n_shingles, component_id, n_links), (links: u, v between class ids).
 
-        With ``every`` the links are all; without, as many as connect the components, and rows have no n_links.
+        Without ``every`` rows have no n_links, and the second table is empty.
         """
         seen = self.scan()
-        classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("c"))
-        classes = write_table(classes, "jaccard-classes")
-        index = self.index(seen, classes)
-        links = (self.every_link if every else self.linking)(index, classes)
-        roots = components(links)
-
-        joined = classes.drop("c").join(roots.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+        classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(
+            F.min("doc_id").alias("doc_id"), F.min(F.struct("row", "doc_id", "t")).alias("rep"), F.count(F.lit(1)).alias("c")
+        )
+        classes = write_table(classes.withColumn("id", F.col("rep.row")), "jaccard-classes")
+        entries = seen.agg(F.sum(F.octet_length("head")) / 6).first()[0] or 0
+        buckets = max(1, int(entries) // BUCKET, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+        met = self.met(self.heads(seen, classes), buckets)
+        near = components(self.pairs(met).unionByName(self.combined(met, buckets)))
+        compared = self.compared(self.blocks(classes, near), every)
+        whole = compared.filter("parts = 1").select(F.col("id").alias("node"), "root")
+        rest = components(compared.filter("parts > 1 AND id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
+        counts = compared.groupBy("id").agg(F.sum("n_links").alias("n_links"))
+
+        joined = classes.select("id", "a", "b", "n", "doc_id").join(whole.unionByName(rest).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        ends = links.select(F.col("u").alias("a")).unionByName(links.select(F.col("v").alias("a"))).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-        final = joined.join(least, "root").join(ends, "a", "left").select("a", "b", "n", "component_id", "n_links")
+        final = joined.join(least, "root").join(counts, "id", "left").select("a", "b", "n", "component_id", "n_links")
         rows = seen.select("doc_id", "a", "b", "n").join(write_table(final, "jaccard-final"), ["a", "b", "n"], "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
+        links = compared.select(F.col("id").alias("u"), F.explode("links").alias("v"))
         return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *counted), links
 
 
@@ -424,7 +559,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     Two documents link when 100 * intersection >= percent * union of their sets of distinct ``words``-word shingles
     (A-Z lower-cased; a text with fewer words is one shingle). Null, empty and blank texts have none, link
     with nothing and are their own component. component_id is the smallest id reachable. n_links counts the links
-    between the row's class and other classes. Without ``every`` links inside components are left out where they change
-    no component_id. Repeated rows and equal sets are one class. Null ids are smallest never; a component of them has a null id.
+    between the row's class and other classes. Repeated rows and equal sets are one class. Null ids are smallest never; a
+    component of them has a null id. Other columns, whatever their names, are not read.
     """
     return Join(docs, words, percent, id_col, text_col).run(every)[0]
