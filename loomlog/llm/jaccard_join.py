@@ -42,6 +42,8 @@ BLOCK_SHINGLES = 2**18
 #: Entries that a task packs at a time, and the mean number of them in a bucket.
 PACKED = 2**20
 BUCKET = 2**17
+#: Pair keys that a frequent entry makes, about.
+COMBINED = 8
 #: Ratio of the sizes at the ends of a band.
 BAND = 1.04
 #: Bits of a shingle's hash, from the top, that a key has.
@@ -430,12 +432,14 @@ class Join:
         less = pairs.filter("r < least").join(often.withColumnRenamed("x", "u"), "u").withColumnRenamed("f", "g").join(often.withColumnRenamed("x", "v"), "v")
         return pairs.filter("r >= least").select("u", "v").unionByName(less.filter("r + least(f, g) >= least").select("u", "v"))
 
-    def combined(self, met: DataFrame, buckets: int) -> DataFrame:
+    def combined(self, met: DataFrame) -> DataFrame:
         """(u, v) that connect all classes with a pair key in common.
 
-        A task connects its own classes first and sends one class for each key.
+        A task connects its own classes first and sends one class for each key. A bucket gives an edge for each class in it at most,
+        so there are only as many buckets as the entries need.
         """
-        percent = self.percent
+        often = met.filter("kind = 1").select("x", "y", "z")
+        percent, buckets = self.percent, 1 + COMBINED * often.count() // BUCKET
 
         def rows(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             keys, ids = _joined(found)
@@ -468,7 +472,7 @@ class Join:
                     u, v = u[u != v], v[u != v]
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-        often = met.filter("kind = 1").select("x", "y", "z").repartition("x").sortWithinPartitions("x", "y")
+        often = often.repartition("x").sortWithinPartitions("x", "y")
         return often.mapInArrow(combine, PACK).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(connect, "u long, v long")
 
     def blocks(self, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -524,9 +528,10 @@ class Join:
         return write_table(dealt.mapInArrow(task, "id long, root long, n_links long, links array<long>, parts long"), "jaccard-compared")
 
     def run(self, every: bool = True) -> tuple[DataFrame, DataFrame]:
-        """(rows: doc_id, n_shingles, component_id, n_links), (links: u, v between class ids).
+        """(rows: doc_id, t, n_shingles, component_id, root, n_links), (links: u, v between class ids).
 
-        Without ``every`` rows have no n_links, and the second table is empty.
+        t is the hash of a row's text and root its component's smallest class, null without shingles. Without ``every`` rows have
+        no n_links, and the second table is empty.
         """
         seen = self.scan()
         classes = seen.filter("n > 0").groupBy("a", "b", "n").agg(
@@ -537,7 +542,7 @@ class Join:
         buckets = max(1, int(entries) // BUCKET, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
         met = self.met(self.heads(seen, classes), buckets)
-        near = components(self.pairs(met).unionByName(self.combined(met, buckets)))
+        near = components(self.pairs(met).unionByName(self.combined(met)))
         compared = self.compared(self.blocks(classes, near), every)
         whole = compared.filter("parts = 1").select(F.col("id").alias("node"), "root")
         rest = components(compared.filter("parts > 1 AND id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
@@ -545,12 +550,12 @@ class Join:
 
         joined = classes.select("id", "a", "b", "n", "doc_id").join(whole.unionByName(rest).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        final = joined.join(least, "root").join(counts, "id", "left").select("a", "b", "n", "component_id", "n_links")
-        rows = seen.select("doc_id", "a", "b", "n").join(write_table(final, "jaccard-final"), ["a", "b", "n"], "left")
+        final = joined.join(least, "root").join(counts, "id", "left").select("a", "b", "n", "component_id", "root", "n_links")
+        rows = seen.select("doc_id", "t", "a", "b", "n").join(write_table(final, "jaccard-final"), ["a", "b", "n"], "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         counted = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if every else []
         links = compared.select(F.col("id").alias("u"), F.explode("links").alias("v"))
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *counted), links
+        return rows.select("doc_id", "t", F.col("n").alias("n_shingles"), own.alias("component_id"), "root", *counted), links
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", every: bool = True) -> DataFrame:
@@ -562,4 +567,4 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     between the row's class and other classes. Repeated rows and equal sets are one class. Null ids are smallest never; a
     component of them has a null id. Other columns, whatever their names, are not read.
     """
-    return Join(docs, words, percent, id_col, text_col).run(every)[0]
+    return Join(docs, words, percent, id_col, text_col).run(every)[0].drop("t", "root")
