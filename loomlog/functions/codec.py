@@ -188,34 +188,47 @@ def encode_batch(records: list[Record], base_offset: int = 0, base_timestamp: in
     return HEADER.pack(*head) + body
 
 
-def _record(r: Reader) -> Record:
-    size = r.varint()
-    body = Reader(r.take(size))
+def _record(body: Reader) -> Record:
+    """A record from its body; headers that cannot be read are left out."""
     attributes, timestamp, offset = body.int8(), body.varint(), body.varint()
     key, value = ((None if (n := body.varint()) < 0 else body.take(n)) for _ in range(2))
-    headers = tuple((body.take(body.varint()).decode("utf-8", "replace"), None if (n := body.varint()) < 0 else body.take(n)) for _ in range(body.varint()))
+    try:
+        headers = tuple((body.take(body.varint()).decode("utf-8", "replace"), None if (n := body.varint()) < 0 else body.take(n)) for _ in range(body.varint()))
+    except Malformed:
+        headers = ()
     return Record(value, key, timestamp, offset, attributes, headers)
 
 
+def _records(r: Reader, count: int) -> Iterator[Record]:
+    """Up to ``count`` records. One whose fields do not fit its size is skipped; one without a size, or cut, ends them."""
+    for _ in range(count):
+        try:
+            size = r.varint()
+            if size <= 0:
+                return
+            body = Reader(r.take(size))
+        except Malformed:
+            return
+        try:
+            yield _record(body)
+        except Malformed:
+            continue
+
+
 def decode_batch(data: bytes, at: int = 0) -> Batch | None:
     """The batch at a position with the records that can be read; None where no whole header is left."""
     if at + HEADER.size > len(data):
         return None
     head = HEADER.unpack_from(data, at)
     end = min(len(data), at + HOP.size + max(head[1], 0))
-    r, records = Reader(data[:end], at + HEADER.size), []
-    try:
-        for _ in range(head[-1]):
-            records.append(_record(r))
-    except Malformed:
-        pass  # a cut tail ends the batch
-    return Batch(*head, tuple(records))
+    return Batch(*head, tuple(_records(Reader(data[:end], at + HEADER.size), head[-1])))
 
 
 def record_values(data: bytes) -> list[bytes]:
-    """Values of the first batch in ``data``; nulls and empty values are skipped, a cut tail ends the list."""
-    batch = decode_batch(data)
-    return [r.value for r in batch.records if r.value] if batch else []
+    """Values of the first batch in ``data``, whatever length its header gives; nulls and empty values are skipped."""
+    if len(data) < HEADER.size:
+        return []
+    return [r.value for r in _records(Reader(data, HEADER.size), HEADER.unpack_from(data)[-1]) if r.value]
 
 
 def batches(data: bytes, at: int = 0) -> Iterator[tuple[int, Batch]]:

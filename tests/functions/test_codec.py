@@ -33,6 +33,20 @@ def test_values_of_a_batch():
     assert codec.record_values(three + one) == [b"aaa", b"bb", b"c"]
 
 
+def test_broken_records_are_skipped():
+    good = [codec.encode_record(codec.Record(x)) for x in (b"one", b"two", b"three")]
+    header = codec.HEADER.pack(0, 49, 0, 2, 0, 0, 2, 0, 0, -1, -1, -1, 3)
+    cut = b"\0\0\0\x01\x06tw"  # its value is longer than the record
+    bad = codec.write_varint(len(cut)) + cut
+    assert codec.record_values(header + good[0] + bad + good[2]) == [b"one", b"three"]
+    body = good[1][1:-1]  # without the number of headers
+    assert codec.record_values(header + good[0] + codec.write_varint(len(body)) + body + good[2]) == [b"one", b"two", b"three"]
+    for length in (-1, 0, 7, 10**9):
+        wrong = codec.HEADER.pack(0, length, 0, 2, 0, 0, 2, 0, 0, -1, -1, -1, 3)
+        assert codec.record_values(wrong + b"".join(good)) == [b"one", b"two", b"three"]
+    assert codec.record_values(header + good[0] + b"\0" + good[2]) == [b"one"]  # a record without length ends the batch
+
+
 records = st.lists(st.builds(codec.Record, st.none() | st.binary(max_size=40), st.none() | st.binary(max_size=9), st.integers(-9, 2**40), st.integers(0, 99), st.just(0), st.just((("h", b"v"), ("n", None)))), max_size=6)
 
 
