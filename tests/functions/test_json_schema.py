@@ -16,8 +16,8 @@ def tags(spark):
 
 
 def test_inference(tags):
-    text = '{"name":"alice","age":30,"active":true,"score":9.5,"n":null,"a":[1],"o":{"x":1}}'
-    assert tags(text) == [{"name": "string", "age": "integer", "active": "boolean", "score": "number", "n": "null", "a": "array", "o": "object"}]
+    text = '{"city":"Oslo","floors":12,"open":false,"height":41.25,"none":null,"doors":[3],"roof":{"flat":1}}'
+    assert tags(text) == [{"city": "string", "floors": "integer", "open": "boolean", "height": "number", "none": "null", "doors": "array", "roof": "object"}]
     assert tags('{"a":1.0,"b":1e2,"c":1e30,"d":1,"d":"x"}') == [{"a": "integer", "b": "integer", "c": "number", "d": "string"}]
 
 
@@ -30,13 +30,13 @@ def test_strictness(tags):
 @pytest.mark.parametrize(
     ("schema", "payload", "valid"),
     [
-        (None, '{"order_id":"abc","amount":9.99}', True), (None, "not json", True),
-        ({"order_id": "string", "amount": "number"}, '{"order_id":"abc","amount":9.99}', True),
-        ({"order_id": "string"}, '{"order_id":123}', False),
-        ({"order_id": "string", "amount": "number"}, '{"order_id":"abc"}', False),
-        ({"type": "string"}, "not json at all", False),
-        ({"amount": "number"}, '{"amount":42,"extra":1}', True),
-        ({"amount": "integer"}, '{"amount":1.5}', False), ({}, "null", True), ({}, "[]", False),
+        (None, '{"sensor":"t-7","celsius":21.75}', True), (None, "<xml/>", True),
+        ({"sensor": "string", "celsius": "number"}, '{"sensor":"t-7","celsius":21.75}', True),
+        ({"sensor": "string"}, '{"sensor":[7]}', False),
+        ({"sensor": "string", "celsius": "number"}, '{"sensor":"t-7"}', False),
+        ({"sensor": "string"}, "<xml/>", False),
+        ({"celsius": "number"}, '{"celsius":-3,"wet":true}', True),
+        ({"celsius": "integer"}, '{"celsius":0.5}', False), ({}, "null", True), ({}, "[]", False),
     ],
 )
 def test_validation(spark, schema, payload, valid):
