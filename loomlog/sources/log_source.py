@@ -3,7 +3,7 @@
     spark.dataSource.register(LogDataSource)
     spark.read.format("log").option("path", root).load()          # also option("startOffset", 12)
     spark.readStream.format("log").option("path", root).load()
-    records.write.format("log").option("path", root).mode("append").save()
+    records.repartition("topic", "partition").write.format("log").option("path", root).mode("append").save()   # also option("segmentBytes", n)
 
 The root holds one directory per partition, ``<topic>-<number>``, each with segment files named by their base
 offset. It must be a folder that all executors see.
@@ -11,17 +11,23 @@ offset. It must be a folder that all executors see.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import json
 import os
+import pickle
 import re
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from ..functions import codec
-from .batches import rows_of
 
+#: Rows that a writing task holds before it spills them to its disk.
+SPILL_ROWS = 100_000
 SCHEMA = "topic string, partition int, batch_offset long, record_index int, timestamp_ms long, key binary, value binary"
 _DIR = re.compile(r"^(.+)-([0-9]+)$")
 _SEGMENT = re.compile(r"^[0-9]{20}\.log$")
@@ -43,13 +49,47 @@ def segment_path(path: str, base: int) -> str:
     return os.path.join(path, f"{base:020d}.log")
 
 
-def read_from(file: str, start: int = 0) -> bytes:
-    """A file from a byte position to its end; a missing one is empty."""
+def read_from(file: str, start: int = 0, size: int = -1) -> bytes:
+    """So many bytes of a file from a position on, or all to its end; a missing one is empty."""
     if not os.path.exists(file):
         return b""
     with open(file, "rb") as f:
         f.seek(start)
-        return f.read()
+        return f.read(size)
+
+
+def batches_of(file: str, start: int = 0) -> Iterator[tuple[int, codec.Batch]]:
+    """(position, batch) of a segment file from a position on, one batch in memory at a time."""
+    if not os.path.exists(file):
+        return
+    with open(file, "rb") as f:
+        while True:
+            f.seek(start)
+            hop = f.read(codec.HOP.size)
+            if len(hop) < codec.HOP.size:
+                return
+            length = codec.HOP.unpack(hop)[1]
+            batch = codec.decode_batch(hop + f.read(max(length, codec.HEADER.size)))
+            if batch is None:
+                return
+            yield start, batch
+            if length <= 0:
+                return
+            start += codec.HOP.size + length
+
+
+def count_from(file: str, at: int = 0) -> tuple[int, int, int]:
+    """(whole batches, batches cut at the end, position after the whole ones) from a position on, hopping from header to header."""
+    n, size = 0, os.path.getsize(file)
+    with open(file, "rb") as f:
+        while at + codec.HOP.size <= size:
+            f.seek(at)
+            length = codec.HOP.unpack(f.read(codec.HOP.size))[1]
+            if length < 0 or at + codec.HOP.size + length > size:
+                return n, 1, at
+            n += 1
+            at += codec.HOP.size + length
+    return n, 0, at
 
 
 @dataclass
@@ -61,9 +101,12 @@ class Segment(InputPartition):
     last: int | None = None
 
     def rows(self) -> Iterator[tuple]:
-        for offset, i, _, _, ts, _, _, key, value in rows_of(read_from(self.file)):
-            if offset >= self.first and (self.last is None or offset < self.last):
-                yield self.topic, self.partition, offset, i, ts, key, value
+        for _, b in batches_of(self.file):
+            if self.last is not None and b.base_offset >= self.last:
+                return
+            if b.base_offset >= self.first:
+                for i, r in enumerate(b.records):
+                    yield self.topic, self.partition, b.base_offset, i, b.base_timestamp + r.timestamp_delta, r.key, r.value
 
 
 def _segments(root: str, first: dict[str, int], last: dict[str, int] | None) -> list[Segment]:
@@ -78,12 +121,20 @@ def _segments(root: str, first: dict[str, int], last: dict[str, int] | None) ->
     return out
 
 
-def _ends(root: str) -> dict[str, int]:
-    """Next offset of each partition: the last segment's base and its number of batches."""
+def _ends(root: str, known: dict[str, tuple[int, int]] | None = None) -> dict[str, int]:
+    """Next offset of each partition: the last segment's base and its number of batches.
+
+    ``known`` keeps (batches, position) of files between calls, so that only what is new is counted.
+    """
     ends = {}
     for topic, partition, path in partition_dirs(root):
         if bases := segment_bases(path):
-            ends[f"{topic}-{partition}"] = bases[-1] + codec.count_batches(read_from(segment_path(path, bases[-1])))
+            file = segment_path(path, bases[-1])
+            before, at = (known or {}).get(file, (0, 0))
+            whole, cut, after = count_from(file, at)
+            if known is not None:
+                known[file] = (before + whole, after)
+            ends[f"{topic}-{partition}"] = bases[-1] + before + whole + cut
     return ends
 
 
@@ -103,13 +154,13 @@ class LogStreamReader(DataSourceStreamReader):
     """Offsets are the next offsets of all partitions; a micro-batch holds what lies between two of them."""
 
     def __init__(self, options: dict[str, str]) -> None:
-        self.root = options["path"]
+        self.root, self.known = options["path"], {}
 
     def initialOffset(self) -> dict:
         return {"next": "{}"}
 
     def latestOffset(self) -> dict:
-        return {"next": json.dumps(_ends(self.root), sort_keys=True)}
+        return {"next": json.dumps(_ends(self.root, self.known), sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Segment]:
         return _segments(self.root, json.loads(start["next"]), json.loads(end["next"]))
@@ -126,53 +177,102 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+class _Sorted:
+    """Rows in order of (topic, partition, batch_offset, record_index), spilled to the task's own disk when they are many."""
+
+    def __init__(self, limit: int = SPILL_ROWS) -> None:
+        self.limit, self.rows, self.runs = limit, [], []
+
+    def add(self, row: tuple) -> None:
+        self.rows.append(row)
+        if len(self.rows) >= self.limit:
+            self.rows.sort(key=_place)
+            run = tempfile.TemporaryFile()
+            for r in self.rows:
+                pickle.dump(r, run)
+            run.seek(0)
+            self.runs.append(run)
+            self.rows = []
+
+    def __iter__(self) -> Iterator[tuple]:
+        def read(run) -> Iterator[tuple]:
+            with run:
+                while True:
+                    try:
+                        yield pickle.load(run)
+                    except EOFError:
+                        return
+
+        self.rows.sort(key=_place)
+        return heapq.merge(*map(read, self.runs), self.rows, key=_place)
+
+
+def _place(r: tuple) -> tuple:
+    return r[:4]
+
+
 class LogWriter(DataSourceWriter):
-    """Writes batches (topic, partition, batch_offset, ...) as segments, one per task and partition, published on commit.
+    """Appends batches (topic, partition, batch_offset, ...) behind the log's end, in new segments published on commit.
 
-    Rows of one batch_offset form a batch. Partition the rows by (topic, partition) and sort them by offset
-    before; a segment is named by its first offset.
+    Rows of one batch_offset form a batch; batches get the offsets that follow the end, in the order of batch_offset, and with
+    ``overwrite`` those from 0 on. With ``keepOffsets`` they keep the offsets they have, as a replica's do: batches that the log has are
+    passed over, and one that leaves a gap is refused. A segment that has reached ``segmentBytes`` is followed by another one. All rows of a
+    partition must be in one task; if they are not, or if somebody else has appended meanwhile, the write fails and
+    leaves the log as it was. Topic, partition and batch_offset must not be null.
     """
 
     def __init__(self, options: dict[str, str], overwrite: bool) -> None:
         self.root, self.overwrite = options["path"], overwrite
+        self.limit = int(options.get("segmentbytes", 2**30))
+        self.keep = options.get("keepoffsets", "false").lower() == "true"
+        self.ends = {} if overwrite else _ends(self.root)
 
     def write(self, iterator: Iterator) -> Written:
         from pyspark import TaskContext
 
-        attempt = TaskContext.get().taskAttemptId()
-        logs: dict[tuple[str, int], list] = {}
+        attempt, rows = TaskContext.get().taskAttemptId(), _Sorted()
         for r in iterator:
-            logs.setdefault((r["topic"], r["partition"]), []).append(r)
+            if r["topic"] is None or r["partition"] is None or r["batch_offset"] is None:
+                raise ValueError("topic, partition and batch_offset must not be null")
+            rows.add((r["topic"], r["partition"], r["batch_offset"], r["record_index"] or 0, r["timestamp_ms"] or 0, _raw(r["key"]), _raw(r["value"])))
         files = []
-        for (topic, partition), rows in sorted(logs.items()):
-            rows.sort(key=lambda r: (r["batch_offset"], r["record_index"]))
-            batches: dict[int, list] = {}
-            for r in rows:
-                batches.setdefault(r["batch_offset"], []).append(r)
-            data = b""
-            for offset, group in batches.items():
-                base = group[0]["timestamp_ms"] or 0
-                records = [codec.Record(_raw(r["value"]), _raw(r["key"]), (r["timestamp_ms"] or 0) - base, i) for i, r in enumerate(group)]
-                data += codec.encode_batch(records, offset, base)
-            folder = os.path.join(self.root, f"{topic}-{partition}")
+        for (topic, partition), log in itertools.groupby(rows, key=lambda r: r[:2]):
+            folder, offset, out, size = os.path.join(self.root, f"{topic}-{partition}"), self.ends.get(f"{topic}-{partition}", 0), None, 0
             os.makedirs(folder, exist_ok=True)
-            final = segment_path(folder, rows[0]["batch_offset"])
-            part = f"{final}.{attempt}.part"
-            with open(part, "wb") as f:
-                f.write(data)
-                f.flush()
-                os.fsync(f.fileno())
-            files.append((part, final))
+            try:
+                for own, group in itertools.groupby(log, key=lambda r: r[2]):
+                    if self.keep and own < offset:
+                        continue
+                    if self.keep and own > offset:
+                        raise ValueError(f"{topic}-{partition} ends at {offset}; a batch at {own} would leave a gap")
+                    if out is None or size >= self.limit:
+                        _close(out)
+                        final = segment_path(folder, offset)
+                        files.append((f"{final}.{attempt}.part", final))
+                        out, size = open(files[-1][0], "wb"), 0
+                    group = list(group)
+                    size += out.write(codec.encode_batch([codec.Record(r[6], r[5], r[4] - group[0][4], i) for i, r in enumerate(group)], offset, group[0][4]))
+                    offset += 1
+            finally:
+                _close(out)
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
         new = [f for m in messages if m for f in m.files]
-        if self.overwrite:
+        finals = [final for _, final in new]
+        if len(set(finals)) < len(finals):
+            raise ValueError("rows of one partition were in several tasks: repartition by topic and partition")
+        if not self.overwrite:
+            now = _ends(self.root)
+            if any(now.get(k, 0) != self.ends.get(k, 0) for k in {os.path.basename(os.path.dirname(f)) for f in finals}) or any(map(os.path.exists, finals)):
+                raise RuntimeError("the log has grown since the write began")
+        else:
             for _, _, path in partition_dirs(self.root):
                 for base in segment_bases(path):
                     os.remove(segment_path(path, base))
         for part, final in new:
-            os.replace(part, final)
+            os.link(part, final)  # unlike a rename it never replaces a file
+            os.remove(part)
 
     def abort(self, messages: list[Written | None]) -> None:
         for part, _ in (f for m in messages if m for f in m.files):
@@ -180,6 +280,14 @@ class LogWriter(DataSourceWriter):
                 os.remove(part)
 
 
+def _close(file: BinaryIO | None) -> None:
+    """Closes a file once its bytes are on disk."""
+    if file:
+        file.flush()
+        os.fsync(file.fileno())
+        file.close()
+
+
 def _raw(value: object) -> bytes | None:
     return None if value is None else bytes(value)
 

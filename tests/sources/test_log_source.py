@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomlog.functions import codec
+from loomlog.operators import offsets
 from loomlog.sources import batches, files, log_source
 
 
@@ -24,6 +25,64 @@ def test_written_records_are_read_back(spark, root):
     assert log_source._ends(root) == {"events-0": 3, "events-1": 3, "orders-0": 5, "orders-1": 5, "orders-2": 5}
 
 
+RECORDS = "topic string, partition int, batch_offset long, record_index int, timestamp_ms long, key binary, value binary"
+
+
+def batch(spark, *values, first=0):
+    return spark.createDataFrame([("t", 0, first + i, 0, 0, None, v) for i, v in enumerate(values)], RECORDS).coalesce(1)
+
+
+def append(df, path, mode="append", **options):
+    df.write.format("log").option("path", str(path)).options(**options).mode(mode).save()
+
+
+def test_appends_go_on_from_the_end_and_replace_nothing(spark, root, tmp_path_factory):
+    path = tmp_path_factory.mktemp("appends")
+    for values in ((b"first", b"second"), (b"third",), (b"fourth",)):
+        append(batch(spark, *values), path)  # each begins at offset 0 by its own numbers
+    got = sorted((r.batch_offset, bytes(r.value)) for r in spark.read.format("log").option("path", str(path)).load().collect())
+    assert got == [(0, b"first"), (1, b"second"), (2, b"third"), (3, b"fourth")] and log_source._ends(str(path)) == {"t-0": 4}
+    append(batch(spark, b"new", first=50), path, "overwrite")
+    assert [(r.batch_offset, bytes(r.value)) for r in spark.read.format("log").option("path", str(path)).load().collect()] == [(0, b"new")]
+
+
+def test_segments_roll_at_their_limit(spark, root, tmp_path_factory):
+    path = tmp_path_factory.mktemp("rolls")
+    append(batch(spark, *[b"12345678"] * 7), path, segmentBytes=150)  # a batch is a little over 70 bytes
+    assert log_source.segment_bases(str(path / "t-0")) == [0, 3, 6] or log_source.segment_bases(str(path / "t-0")) == [0, 2, 4, 6]
+    assert log_source._ends(str(path)) == {"t-0": 7}
+    known = {}
+    assert log_source._ends(str(path), known) == {"t-0": 7} == log_source._ends(str(path), known)
+
+
+def test_a_write_that_cannot_be_placed_fails_and_leaves_nothing(spark, root, tmp_path_factory):
+    path = tmp_path_factory.mktemp("refused")
+    append(batch(spark, b"one"), path)
+    writer = log_source.LogWriter({"path": str(path)}, False)
+    part = path / "t-0" / "x.part"
+    part.write_bytes(codec.encode_batch([codec.Record(b"late")], 1))
+    append(batch(spark, b"two"), path)
+    message = log_source.Written([(str(part), log_source.segment_path(str(path / "t-0"), 1))])
+    with pytest.raises(RuntimeError):
+        writer.commit([message])
+    writer.abort([message])
+    spread = batch(spark, b"a", b"b", b"c", b"d").repartition(2, "value")
+    if len({r[0] for r in spread.select(F.spark_partition_id()).collect()}) > 1:
+        with pytest.raises(Exception, match="several tasks"):
+            append(spread, path)
+    with pytest.raises(Exception, match="must not be null"):
+        append(spark.createDataFrame([("t", 0, None, 0, 0, None, b"x")], RECORDS), path)
+    assert sorted(bytes(r.value) for r in spark.read.format("log").option("path", str(path)).load().collect()) == [b"one", b"two"]
+    assert not [n for n in os.listdir(path / "t-0") if n.endswith(".part")]
+
+
+def test_spilled_rows_come_back_in_order():
+    rows = log_source._Sorted(3)
+    for i in (5, 1, 4, 9, 2, 8, 0, 3):
+        rows.add(("t", 0, i, 0, 0, None, b""))
+    assert [r[2] for r in rows] == [0, 1, 2, 3, 4, 5, 8, 9]
+
+
 def test_segments_are_pruned_and_others_ignored(spark, root):
     folder = os.path.join(root, "orders-0")
     with open(log_source.segment_path(folder, 5), "wb") as f:
@@ -68,6 +127,15 @@ def test_topic_records_of_cluster_metadata(spark, tmp_path):
     assert {r.name: r.topic_id for r in last.collect()} == {"a": ids[2], "b": ids[1]}
 
 
+def test_offset_log_replays_in_write_order(spark, tmp_path):
+    path = str(tmp_path / "commits")
+    order = [7, 3, 9, 1, 9, 2, 8, 2, 40, 5, 6, 4, 33, 0, 12, 11, 10, 30, 22, 17]
+    for n in order:
+        files.append_offset_log(spark.createDataFrame([("g", "t", 0, 1000), ("g", "t", 0, n), ("g", "t", 1, n)], files.COMMIT).coalesce(1), path)
+    log = files.read_offset_log(spark, path)
+    assert log.count() == 60 and {(r.partition, r.offset) for r in offsets.replay(log).collect()} == {(0, 17), (1, 17)}
+
+
 def test_offset_log_and_properties(spark, tmp_path):
     path = str(tmp_path / "offsets")
     files.append_offset_log(spark.createDataFrame([("g", "t", 0, 100)], files.COMMIT), path)
