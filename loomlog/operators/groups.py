@@ -22,13 +22,15 @@ SESSION_MS = 30_000
 EMPTY, JOINING, AWAITING, STABLE = "Empty", "Joining", "AwaitingSync", "Stable"
 
 EVENTS = "seq long, ts_ms long, group string, member string, event string, generation int, session_ms int, protocols array<string>, payload string"
-RESULTS = "group string, seq long, ts_ms long, event string, member string, error int, generation int, state string, protocol string, leader string, members string, assignment string"
+RESULTS = "group string, seq long, ts_ms long, event string, member string, error int, generation int, state string, protocol string, leader string, members string, assignment string, metadata string"
 
 
 @dataclass
 class Member:
     session_ms: int = SESSION_MS
     protocols: list[str] = field(default_factory=list)
+    #: what the member says of each protocol, for the leader
+    metadata: dict[str, str] = field(default_factory=dict)
     assignment: str | None = None
     expires: int = 0
 
@@ -69,17 +71,26 @@ def preferred(members: dict[str, Member]) -> str:
     return next((p for p in ranked if all(p in m.protocols for m in members.values())), "")
 
 
+def _texts(payload: str | None) -> dict[str, str]:
+    """The members of a JSON object; empty for anything else."""
+    try:
+        found = json.loads(payload or "{}")
+    except ValueError:
+        return {}
+    return {k: v if isinstance(v, str) else json.dumps(v) for k, v in found.items()} if isinstance(found, dict) else {}
+
+
 class Machine:
     """Applies events to a group; every call returns the rows (see RESULTS) that it answers."""
 
     def __init__(self, name: str, group: Group | None = None, delay_ms: int = REBALANCE_DELAY_MS, max_members: int = MAX_MEMBERS) -> None:
         self.name, self.g, self.delay_ms, self.max_members = name, group or Group(), delay_ms, max_members
 
-    def _row(self, seq: int, ts: int, event: str, member: str, error: int, members: str | None = None, assignment: str | None = None) -> dict:
+    def _row(self, seq: int, ts: int, event: str, member: str, error: int, members: str | None = None, assignment: str | None = None, metadata: str | None = None) -> dict:
         g = self.g
         return {
             "group": self.name, "seq": seq, "ts_ms": ts, "event": event, "member": member, "error": error, "generation": g.generation, "state": g.state,
-            "protocol": g.protocol, "leader": g.leader, "members": members, "assignment": assignment,
+            "protocol": g.protocol, "leader": g.leader, "members": members, "assignment": assignment, "metadata": metadata,
         }
 
     def _rebalance(self, ts: int) -> list[dict]:
@@ -99,17 +110,16 @@ class Machine:
         return self._rebalance(ts)
 
     def _complete(self, ts: int) -> list[dict]:
-        """Ends the joining round: a new generation, its protocol and leader; the leader learns the members."""
+        """Ends the joining round: a new generation, its protocol and leader; the leader learns the members and what they say of the protocol."""
         g = self.g
         g.generation += 1
         g.protocol = preferred(g.members)
         g.leader = g.leader if g.leader in g.members else min(g.members)
         g.state, g.round_at = AWAITING, 0
         waiting, g.joins = g.joins, {}
-        for m in waiting:
-            g.members[m].expires = ts + g.members[m].session_ms
         listed = ",".join(sorted(g.members))
-        return [self._row(s, ts, "join", m, errors.NONE, listed if m == g.leader else "") for m, (s, _) in sorted(waiting.items())]
+        said = json.dumps({m: g.members[m].metadata.get(g.protocol) for m in sorted(g.members)})
+        return [self._row(s, ts, "join", m, errors.NONE, listed if m == g.leader else "", None, said if m == g.leader else None) for m, (s, _) in sorted(waiting.items())]
 
     def advance(self, ts: int) -> list[dict]:
         """Everything that is due up to ``ts``, in order of time."""
@@ -149,7 +159,8 @@ class Machine:
             member = f"member-{self.name}-{e['seq']}"
         g.seen = True
         m = g.members.setdefault(member, Member())
-        m.session_ms, m.protocols = e["session_ms"] or SESSION_MS, list(e["protocols"] or [])
+        m.session_ms, m.protocols, m.metadata = e["session_ms"] or SESSION_MS, list(e["protocols"] or []), _texts(e["payload"])
+        m.expires = ts + m.session_ms  # from the join on, whenever the round completes
         out = self._rebalance(ts) if g.state in (STABLE, AWAITING) else []
         g.state = JOINING
         g.joins[member] = [e["seq"], ts + m.session_ms]
@@ -179,12 +190,13 @@ class Machine:
             return [self._row(e["seq"], ts, "sync", member, errors.NONE, None, own.assignment)]
         if g.state != AWAITING:
             return [self._row(e["seq"], ts, "sync", member, errors.REBALANCE_IN_PROGRESS)]
-        assigned = json.loads(e["payload"]) if e["payload"] else {}
+        own.expires = ts + own.session_ms
+        assigned = _texts(e["payload"])
         if member != g.leader or not assigned:
             g.syncs[member] = [e["seq"], ts + own.session_ms]
             return []
-        for k, m in g.members.items():
-            m.assignment = assigned.get(k)
+        for k in assigned.keys() & g.members.keys():  # others keep theirs
+            g.members[k].assignment = assigned[k]
         g.state = STABLE
         waiting, g.syncs = {**g.syncs, member: [e["seq"], 0]}, {}
         rows = []

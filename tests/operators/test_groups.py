@@ -61,7 +61,30 @@ def test_timers_expire_members_joins_and_syncs():
     m, _ = run([ev(1, 0, "a", "join"), ev(2, 5, "b", "join", session=50)])
     assert errors(m.advance(60)) == [("join", "b", 27)] and list(m.g.members) == ["a"]
     m, _ = run([ev(1, 0, "a", "join"), ev(2, 5, "a", "sync", 1)])
-    assert errors(m.advance(1000))[0] == ("expire", "a", 0) or errors(m.advance(2000))[0][2] == 27
+    assert m.advance(1004) == [] and errors(m.advance(2000)) == [("sync", "a", 27), ("expire", "a", 0)]  # the sync at 5 began a new session
+
+
+def test_sync_refreshes_the_session_and_the_round_does_not():
+    m, _ = run([ev(1, 0, "a", "join"), ev(2, 900, "a", "sync", 1, json.dumps({"a": "A"}))])
+    assert errors(m.apply(ev(3, 1500, "a", "heartbeat", 1))) == [("heartbeat", "a", 0)]
+    m, _ = run([ev(1, 0, "a", "join")], delay=400)
+    assert errors(m.advance(999)) == [("join", "a", 0)] and errors(m.advance(1000)) == [("expire", "a", 0)]
+
+
+def test_assignments_of_members_that_are_not_listed_stay():
+    m, _ = run([ev(1, 0, "a", "join"), ev(2, 0, "b", "join")], delay=1)
+    m.advance(1)
+    m.apply(ev(3, 2, "b", "sync", 1))
+    m.apply(ev(4, 3, "a", "sync", 1, json.dumps({"a": "A", "b": "B"})))
+    rows = m.apply(ev(5, 4, "a", "join")) + m.apply(ev(6, 5, "b", "join")) + m.advance(6)
+    rows = m.apply(ev(7, 7, "b", "sync", 2)) + m.apply(ev(8, 8, "a", "sync", 2, json.dumps({"a": "A2"})))
+    assert errors(rows, "assignment") == [("sync", "a", 0, "A2"), ("sync", "b", 0, "B")]
+
+
+def test_leader_learns_what_members_say_of_the_protocol():
+    m, _ = run([ev(1, 0, "a", "join", 0, '{"range": "of a", "other": "x"}'), ev(2, 0, "b", "join", 0, '{"range": "of b"}')], delay=1)
+    rows = {r["member"]: r["metadata"] for r in m.advance(1)}
+    assert rows == {"a": json.dumps({"a": "of a", "b": "of b"}), "b": None}
 
 
 def test_state_survives_a_dump():
