@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -19,22 +20,34 @@ def assign_segments(batches: DataFrame, max_bytes: int = MAX_SEGMENT_BYTES) -> D
 
     A batch opens a new segment, named by its offset, if the current one has reached ``max_bytes`` before it
     is written; a segment may so exceed the limit by one batch. Each log is a fold in offset order that
-    keeps two numbers: tasks stream over sorted rows and hold one Arrow batch.
+    keeps two numbers: tasks stream over sorted rows and hold one Arrow batch, in which only the segments are looped
+    over. Where a segment ends follows from all before it, so a log is folded by one task; logs are many.
     """
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         log, base, size = None, 0, 0
         for part in parts:
-            segments, places = [], []
-            for topic, partition, offset, n in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                if (topic, partition) != log:
-                    log, base, size = (topic, partition), offset, 0
-                elif size >= max_bytes:
-                    base, size = offset, 0
-                segments.append(base)
-                places.append(size)
-                size += n
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(segments, pa.int64()), pa.array(places, pa.int64())], [*part.schema.names, "segment", "file_pos"])
+            topics, partitions = part.column(0).dictionary_encode().indices.to_numpy(), part.column(1).to_numpy()
+            names, offsets, sizes = part.column(0), part.column(2).to_numpy(), part.column(3).to_numpy()
+            segments, places = np.empty(part.num_rows, np.int64), np.empty(part.num_rows, np.int64)
+            cuts = np.flatnonzero((topics[1:] != topics[:-1]) | (partitions[1:] != partitions[:-1])) + 1
+            for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), part.num_rows], strict=True):
+                if low == high:
+                    continue
+                if (name := (names[low].as_py(), int(partitions[low]))) != log:
+                    log, base, size = name, int(offsets[low]), 0
+                ends = np.cumsum(sizes[low:high])
+                at = 0  # the batch at which the current segment, or its rest, begins
+                while at < high - low:
+                    if size >= max_bytes:
+                        base, size = int(offsets[low + at]), 0
+                    before = int(ends[at - 1]) if at else 0
+                    after = min(int(np.searchsorted(ends, before + max_bytes - size)) + 1, high - low)  # up to the batch that fills it
+                    segments[low + at : low + after] = base
+                    places[low + at : low + after] = size + ends[at:after] - sizes[low + at : low + after] - before
+                    size += int(ends[after - 1]) - before
+                    at = after
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(segments), pa.array(places)], [*part.schema.names, "segment", "file_pos"])
 
     rows = batches.select(F.col("topic").cast("string"), F.col("partition").cast("int"), F.col("offset").cast("long"), F.col("bytes").cast("long"))
     rows = rows.repartition("topic", "partition").sortWithinPartitions("topic", "partition", "offset")
