@@ -59,17 +59,21 @@ def topic_by_id(requests: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def _partition_lists(partitions: DataFrame) -> DataFrame:
-    shape = F.struct(F.lit(errors.NONE).alias("error"), "partition", "leader_id", "leader_epoch", "replicas", "isr")
+    more = ["offline"] if "offline" in partitions.columns else []
+    shape = F.struct(F.lit(errors.NONE).alias("error"), "partition", "leader_id", "leader_epoch", "replicas", "isr", *more)
     return partitions.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("partition", shape.alias("p")))).alias("ps")).select(
         F.col("topic").alias("name"), F.transform("ps", lambda x: x["p"]).alias("partitions")
     )
 
 
-def describe_topics(requests: DataFrame, topics: DataFrame, partitions: DataFrame) -> DataFrame:
+def describe_topics(requests: DataFrame, topics: DataFrame, partitions: DataFrame, alive: list[int] | None = None) -> DataFrame:
     """(name, error, topic_id, is_internal, partitions, operations) of each requested name, by name.
 
-    Unknown names are error 3 with the zero id and no partitions. A name asked for twice is answered twice.
+    Unknown names are error 3 with the zero id and no partitions. A name asked for twice is answered twice. With ``alive`` each
+    partition also lists its replicas on other brokers as offline.
     """
+    if alive is not None:
+        partitions = partitions.withColumn("offline", F.filter("replicas", lambda r: ~r.isin(alive)))
     found = requests.join(topics.select("name", "topic_id", "is_internal"), "name", "left").join(_partition_lists(partitions), "name", "left")
     known = F.col("topic_id").isNotNull()
     return found.select(
@@ -78,10 +82,37 @@ def describe_topics(requests: DataFrame, topics: DataFrame, partitions: DataFram
     ).orderBy("name")
 
 
-def metadata(requests: DataFrame | None, topics: DataFrame, partitions: DataFrame) -> DataFrame:
-    """(name, topic_id, is_internal, partitions, operations) of the named topics, or of all; unknown names are left out."""
-    chosen = topics if requests is None else topics.join(requests, "name", "left_semi")
-    return chosen.join(_partition_lists(partitions), "name", "left").select("name", "topic_id", "is_internal", "partitions", F.lit(TOPIC_OPERATIONS).alias("operations"))
+def describe_page(requests: DataFrame, topics: DataFrame, partitions: DataFrame, limit: int, after: str | None = None, alive: list[int] | None = None) -> tuple[DataFrame, str | None]:
+    """(the first ``limit`` rows of ``describe_topics`` with names behind ``after``, the cursor of the next page, null after the last one).
+
+    A name counts once. A page is a limit over the sorted names; only its topics are described.
+    """
+    names = requests.select("name").distinct()
+    names = names.filter(F.col("name") > after) if after is not None else names
+    page = [r[0] for r in names.orderBy("name").limit(limit + 1).collect()]  # a page and one name
+    chosen = requests.sparkSession.createDataFrame([(n,) for n in page[:limit]], "name string")
+    return describe_topics(chosen, topics, partitions, alive), page[limit - 1] if len(page) > limit else None
+
+
+def metadata(requests: DataFrame | None, topics: DataFrame, partitions: DataFrame, unknown: bool = False) -> DataFrame:
+    """(name, topic_id, is_internal, partitions, operations, error) of the named topics, or of all.
+
+    Unknown names are left out or, with ``unknown``, answered with error 3 and no id.
+    """
+    lists = _partition_lists(partitions)
+    chosen = topics if requests is None else requests.select("name").distinct().join(topics, "name", "left" if unknown else "inner")
+    known = F.col("topic_id").isNotNull()
+    return chosen.join(lists, "name", "left").select(
+        "name", "topic_id", F.coalesce("is_internal", F.lit(False)).alias("is_internal"), "partitions", F.when(known, TOPIC_OPERATIONS).otherwise(0).alias("operations"),
+        F.when(known, errors.NONE).otherwise(errors.UNKNOWN_TOPIC_OR_PARTITION).alias("error"),
+    )
+
+
+def metadata_answer(requests: DataFrame | None, topics: DataFrame, partitions: DataFrame, brokers: DataFrame, local_id: int, cluster_id: str = "log-cluster") -> DataFrame:
+    """The whole answer in one row: brokers, cluster_id, controller_id and topics (as ``metadata`` has them) as arrays."""
+    told = metadata(requests, topics, partitions).agg(F.sort_array(F.collect_list(F.struct("name", "topic_id", "is_internal", "partitions", "operations", "error"))).alias("topics"))
+    nodes = brokers.agg(F.sort_array(F.collect_list(F.struct("broker_id", "host", "port", F.lit("").alias("rack")))).alias("brokers"))
+    return told.join(nodes, F.lit(True)).select("brokers", F.lit(cluster_id).alias("cluster_id"), F.lit(local_id).alias("controller_id"), "topics")  # one row each
 
 
 def cluster(brokers: DataFrame, local_id: int, cluster_id: str = "log-cluster") -> DataFrame:
