@@ -99,8 +99,7 @@ _FENCED = "(1, 'events', 0, -1, -1), (2, 'events', 0, 1, -1), (3, 'events', 1, 2
 
 
 @query(_LOG + f"""SELECT r.id AS part_pos, r.topic, r.p AS partition,
-CASE WHEN r.topic <> 'events' OR h.part IS NULL THEN 3 WHEN e >= 0 AND e < 2 THEN 74 WHEN e > 2 AND rep < 0 THEN 6 ELSE 0 END AS error,
-CASE WHEN r.topic <> 'events' OR h.part IS NULL OR (e >= 0 AND e < 2) OR (e > 2 AND rep < 0) THEN -1 ELSE h.hw END AS hw
+CASE WHEN r.topic <> 'events' THEN 100 WHEN h.part IS NULL THEN 3 WHEN e >= 0 AND e < 2 THEN 74 WHEN e > 2 AND rep < 0 THEN 6 ELSE 0 END AS error, coalesce(h.hw, -1) AS hw
 FROM (VALUES {_FENCED}) r(id, topic, p, e, rep) LEFT JOIN hw h ON r.topic = 'events' AND h.part = r.p""")
 def fetch_fenced(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = spark.sql(
@@ -161,17 +160,6 @@ def consumer_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offsets.lag(offsets.replay(_commits(log)), log_ends(log))
 
 
-_COMMIT_REQUESTS = "(1, 'a', 'm1', 3), (2, 'a', 'm1', 2), (3, 'a', 'zz', 3), (4, 'b', 'm1', 3), (5, 'c', 'm9', 1)"
-
-
-@query("""SELECT r.id AS req_id, r.g AS "group", r.m AS member, CASE WHEN r.g NOT IN ('a', 'c') THEN 15 WHEN (r.g, r.m) NOT IN (('a', 'm1'), ('a', 'm2'), ('c', 'm9')) THEN 25
-WHEN r.gen <> CASE r.g WHEN 'a' THEN 3 ELSE 1 END THEN 22 ELSE 0 END AS error FROM (VALUES """ + _COMMIT_REQUESTS + ") r(id, g, m, gen)")
-def offset_commit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = spark.sql(f"SELECT id AS req_id, g AS group, m AS member, gen AS generation FROM VALUES {_COMMIT_REQUESTS} AS r(id, g, m, gen)")
-    members = spark.sql("SELECT * FROM VALUES ('a', 'm1', 3), ('a', 'm2', 3), ('c', 'm9', 1) AS m(group, member, generation)")
-    return offsets.commit(requests, members).select("req_id", "group", "member", "error")
-
-
 @query(_LOG + "SELECT 'events' AS topic, part AS partition, hw FROM hw")
 def high_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replication.high_watermark(_partitions(spark), _state(_log(spark, sf_dir)))
@@ -199,21 +187,6 @@ def isr_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("partition", F.array_join(F.col("isr").cast("array<string>"), ",").alias("isr"), "partition_epoch")
 
 
-@query("""SELECT * FROM (VALUES (0, '1,3', '1,2,3', '1,2,3,4'), (1, '1,3', '1,2,3', '1,2,3'), (2, '1,3', '1,2,3', '1,2,3')) v(partition, shrunk, same, expanded)""")
-def isr_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = lambda c: F.array_join(c.cast("array<string>"), ",")
-    isr, leader_leo = F.col("isr"), F.lit(10).cast("long")
-    four = replication.expand(isr, F.lit(4), F.when(F.col("partition") == 0, 10).otherwise(9).cast("long"), leader_leo)
-    return _partitions(spark).select(
-        "partition", joined(replication.shrink(isr, F.lit(2))).alias("shrunk"), joined(replication.expand(isr, F.lit(2), leader_leo, leader_leo)).alias("same"), joined(four).alias("expanded")
-    )
-
-
-@query("SELECT * FROM (VALUES (0, 2, 3, 0), (1, 1, 3, 0), (2, 1, 3, 0)) v(partition, leader_id, leader_epoch, error)")
-def leader_election(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replication.elect(_partitions(spark)).drop("topic")
-
-
 _PROBES = "SELECT CAST(user_id AS INTEGER) AS broker_id, event_id AS seq, event_type <> 'error' AS reachable FROM events"
 
 
@@ -232,12 +205,6 @@ def dead_brokers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replication.dead_brokers(spark.sql(_PROBES.replace("FROM events", "FROM loomlog_events")), 2)
 
 
-@query("""SELECT * FROM (VALUES (0, 1, 2, '1,3', 8, 0), (1, 1, 3, '1,3', 8, 0), (2, 3, 2, '1,3', 8, 0)) v(partition, leader_id, leader_epoch, isr, partition_epoch, error)""")
-def failover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replication.fail_over(_partitions(spark), spark.sql("SELECT * FROM VALUES (2), (9) AS d(broker_id)"))
-    return out.select("partition", "leader_id", "leader_epoch", F.array_join(F.col("isr").cast("array<string>"), ",").alias("isr"), "partition_epoch", "error")
-
-
 @query("""WITH t AS (SELECT 'topic-' || o_orderpriority AS topic, CAST(count(*) % 7 AS INTEGER) AS n FROM orders GROUP BY 1),
 p AS (SELECT topic, CAST(unnest(range(n)) AS INTEGER) AS partition FROM t), r AS (SELECT topic, partition, CAST(unnest(range(3)) AS INTEGER) AS r FROM p)
 SELECT topic, partition, string_agg(CAST([2, 5, 9][(partition + r) % 3 + 1] AS VARCHAR), ',' ORDER BY r) AS replicas FROM r GROUP BY topic, partition""")
@@ -307,12 +274,6 @@ def produce_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return produce.respond(requests, partitions, 1, 1000)
 
 
-@query("SELECT 'orders.dlq' AS name")
-def dlq_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routed = spark.sql("SELECT * FROM VALUES ('events', 0, false, true), ('orders', 1, true, true), ('orders', 0, false, true), ('zebra', 0, true, false) AS r(topic, partition, to_log, to_dlq)")
-    return produce.missing_dlq_topics(routed, spark.sql("SELECT * FROM VALUES ('events'), ('events.dlq') AS t(name)"))
-
-
 _FOLD = _LOG.replace("WITH log", "WITH RECURSIVE log", 1) + """,
 fold AS (SELECT part, off, bytes, CAST(0 AS BIGINT) AS segment, CAST(0 AS BIGINT) AS pos FROM log WHERE off = 0
          UNION ALL SELECT l.part, l.off, l.bytes, CASE WHEN f.pos + f.bytes >= 20000 THEN l.off ELSE f.segment END, CASE WHEN f.pos + f.bytes >= 20000 THEN 0 ELSE f.pos + f.bytes END
@@ -348,22 +309,119 @@ def next_offset_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.next_offsets(_assigned(spark, sf_dir)).drop("topic")
 
 
-_FILES = "('events-0', '00000000000000000250.log'), ('events-0', '00000000000000000000.log'), ('events-0', '00000000000000000000.index'), ('events-1', '7.log'), ('events-1', '00000000000000000009.log')"
+def _told(column: str) -> F.Column:
+    """Partition lists as text: partition:leader:in-sync replicas."""
+    one = lambda p: F.concat_ws(":", p["partition"].cast("string"), p["leader_id"].cast("string"), F.array_join(p["isr"].cast("array<string>"), "/"))
+    return F.array_join(F.transform(column, one), ",")
 
 
-@query(f"SELECT d AS directory, CAST(substr(n, 1, 20) AS BIGINT) AS base_offset, n AS name FROM (VALUES {_FILES}) f(d, n) WHERE regexp_full_match(n, '[0-9]{{20}}\\.log')")
-def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.list_segments(spark.sql(f"SELECT * FROM VALUES {_FILES} AS f(directory, name)"))
+@query(_LOG + "SELECT part AS partition, count(*) AS to_copy, min(off) AS first FROM log JOIN (SELECT part, leo FROM state WHERE broker = 4) s USING (part) WHERE off >= leo GROUP BY part")
+def follower_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _log(spark, sf_dir)
+    todo = replication.replicate(log.drop("broker_id"), _state(log), 4)
+    return todo.groupBy("partition").agg(F.count(F.lit(1)).alias("to_copy"), F.min("offset").alias("first"))
+
+
+@query()
+def group_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of events as group events: users join, sync, beat, commit and leave."""
+    kind = F.element_at(F.create_map(*(F.lit(x) for x in ("signup", "join", "purchase", "sync", "view", "heartbeat", "click", "commit", "error", "leave"))), F.col("event_type"))
+    events = _log(spark, sf_dir).select(
+        F.col("event_id").alias("seq"), "ts_ms", F.concat(F.lit("g"), (F.col("user_id") % 20).cast("string")).alias("group"), F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("member"),
+        kind.alias("event"), F.expr("int(event_id div 400)").alias("generation"), F.lit(7_200_000).alias("session_ms"), F.array(F.lit("range"), F.lit("sticky")).alias("protocols"),
+        F.lit('{"m0": "0", "m1": "1"}').alias("payload"),
+    )
+    return groups.replay(events)
+
+
+@query(_LOG + "SELECT part AS partition, off // 100 AS batch, count(*) FILTER (strlen(val) > 0) AS n_values, CAST(sum(strlen(val)) AS BIGINT) AS value_bytes FROM log GROUP BY 1, 2")
+def batch_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records encoded in batches of a hundred, and decoded again."""
+    log = _log(spark, sf_dir).withColumn("batch", F.expr("offset div 100"))
+
+    values = log.groupBy("partition", "batch").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("rows"))
+    values = values.select("partition", "batch", F.transform("rows", lambda r: r["value"].cast("binary")).alias("records"))
+    found = batches.decode_values(batches.encode_values(values, "records", "data"), "data", "found")
+    return found.select("partition", "batch", F.size("found").cast("long").alias("n_values"), F.aggregate("found", F.lit(0).cast("long"), lambda s, v: s + F.octet_length(v)).alias("value_bytes"))
 
 
-_DESCRIBED = "('zebra'), ('apple'), ('events'), ('events')"
+# A catalog made of the customers: a topic for each nation and segment, those of every eleventh customer internal; partitions, leaders and
+# in-sync replicas on five brokers by the number of customers. Some in-sync sets lack the leader, some are empty.
+_CATALOG = """
+WITH cust AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN '__' ELSE '' END || 'topic-' || c_nationkey || '-' || c_mktsegment AS name, c_custkey FROM customer),
+topics AS (SELECT name, starts_with(name, '__') AS is_internal, count(*) AS n, {uuid} AS topic_id FROM cust GROUP BY name),
+spread AS (SELECT name AS topic, n, CAST(unnest(range(n % 4 + 1)) AS INTEGER) AS partition FROM topics),
+led AS (SELECT *, CAST((n + partition) % 5 + 1 AS INTEGER) AS leader_id, CAST(n % 6 AS INTEGER) AS leader_epoch, CAST(n % 9 AS INTEGER) AS partition_epoch FROM spread),
+held AS (SELECT *, [leader_id, leader_id % 5 + 1, (leader_id + 1) % 5 + 1] AS replicas FROM led),
+parts AS (SELECT *, list_filter(replicas, lambda r: (n * 7 + partition * 3 + r) % 4 <> 0) AS isr FROM held),
+dead AS (SELECT CAST(s_suppkey % 5 + 1 AS INTEGER) AS broker FROM supplier WHERE s_acctbal < 0 GROUP BY 1 HAVING count(*) % 2 = 1)
+""".replace("{uuid}", _UUID.format("name"))
+_JOINED = "array_to_string({0}, ',')"
 
 
-@query(f"""SELECT r.n AS name, CASE WHEN r.n = 'apple' THEN 3 ELSE 0 END AS error, CASE WHEN r.n = 'apple' THEN '{catalog.ZERO_UUID}' ELSE {_UUID.format('r.n')} END AS topic_id, false AS is_internal,
-CASE r.n WHEN 'events' THEN '0:1:1/2/3,1:2:1/2/3,2:3:1/2/3' END AS partitions FROM (VALUES {_DESCRIBED}) r(n)""")
-def describe_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = catalog.describe_topics(spark.sql(f"SELECT * FROM VALUES {_DESCRIBED} AS r(name)"), _topics(spark), _partitions(spark))
-    return out.select("name", "error", "topic_id", "is_internal", _told("partitions").alias("partitions"))
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(topics, partitions) of ``_CATALOG``; both also have n, the topic's number of customers."""
+    marked = F.when(F.col("c_custkey") % 11 == 0, "__").otherwise("")
+    topics = _table(spark, sf_dir, "customer").groupBy(F.concat(marked, F.lit("topic-"), "c_nationkey", F.lit("-"), "c_mktsegment").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    topics = topics.select("name", names.name_uuid(F.col("name")).alias("topic_id"), F.col("name").startswith("__").alias("is_internal"), "n")
+    led = topics.select(F.col("name").alias("topic"), "n", F.explode(F.expr("sequence(0, int(n % 4))")).alias("partition")).withColumn("leader_id", F.expr("int((n + partition) % 5 + 1)"))
+    held = led.withColumn("replicas", F.expr("array(leader_id, leader_id % 5 + 1, (leader_id + 1) % 5 + 1)"))
+    return topics, held.withColumns({
+        "isr": F.expr("filter(replicas, r -> (n * 7 + partition * 3 + r) % 4 <> 0)"), "leader_epoch": F.expr("int(n % 6)"), "partition_epoch": F.expr("int(n % 9)"), "hw": F.lit(0).cast("long"),
+    })
+
+
+def _text(column: str) -> F.Column:
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
+@query(_CATALOG + f"""SELECT topic, partition, {_JOINED.format("list_filter(isr, lambda r: r <> n % 5 + 1)")} AS shrunk,
+{_JOINED.format("CASE WHEN n >= 20 AND NOT list_contains(isr, n % 5 + 1) THEN list_append(isr, n % 5 + 1) ELSE isr END")} AS expanded FROM parts""")
+def isr_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broker n % 5 + 1 leaves every in-sync set, or joins those whose leader's end, 20, it has reached."""
+    _, partitions = _catalog(spark, sf_dir)
+    broker = F.expr("int(n % 5 + 1)")
+    out = partitions.withColumns({"shrunk": replication.shrink(F.col("isr"), broker), "expanded": replication.expand(F.col("isr"), broker, F.col("n"), F.lit(20))})
+    return out.select("topic", "partition", _text("shrunk"), _text("expanded"))
+
+
+@query(_CATALOG + """, c AS (SELECT *, coalesce(list_filter(isr, lambda r: r <> leader_id)[1], isr[1]) AS chosen FROM parts)
+SELECT topic, partition, coalesce(chosen, leader_id) AS leader_id, leader_epoch + CASE WHEN chosen IS NULL THEN 0 ELSE 1 END AS leader_epoch, CASE WHEN chosen IS NULL THEN 1 ELSE 0 END AS error FROM c""")
+def leader_election(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replication.elect(_catalog(spark, sf_dir)[1])
+
+
+@query(_CATALOG + f""", g AS (SELECT p.*, coalesce((SELECT list(broker) FROM dead), []) AS gone FROM parts p),
+l AS (SELECT *, list_filter(isr, lambda r: NOT list_contains(gone, r)) AS rest, list_contains(gone, leader_id) AS led FROM g),
+c AS (SELECT *, CASE WHEN led THEN list_filter(rest, lambda r: r <> leader_id)[1] END AS chosen FROM l)
+SELECT topic, partition, coalesce(chosen, leader_id) AS leader_id, leader_epoch + CASE WHEN chosen IS NULL THEN 0 ELSE 1 END AS leader_epoch, {_JOINED.format("rest")} AS isr,
+partition_epoch + CASE WHEN len(rest) <> len(isr) THEN 1 ELSE 0 END AS partition_epoch, CASE WHEN led AND chosen IS NULL THEN 1 ELSE 0 END AS error FROM c""")
+def failover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brokers with an odd number of indebted suppliers die."""
+    dead = _table(spark, sf_dir, "supplier").filter("s_acctbal < 0").groupBy(F.expr("int(s_suppkey % 5 + 1)").alias("broker_id")).count().filter("count % 2 = 1").select("broker_id")
+    out = replication.fail_over(_catalog(spark, sf_dir)[1], dead)
+    return out.select("topic", "partition", "leader_id", "leader_epoch", _text("isr"), "partition_epoch", "error")
+
+
+@query(_CATALOG + f"""SELECT leader_id, topic, {_JOINED.format("list(partition ORDER BY partition)")} AS partitions FROM parts WHERE list_contains(replicas, 3) AND leader_id <> 3 GROUP BY leader_id, topic""")
+def replica_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replication.replica_work(_catalog(spark, sf_dir)[1], 3).select("leader_id", "topic", _text("partitions"))
+
+
+@query(_LOG + f"SELECT DISTINCT event_type || '.dlq' AS name FROM payloads WHERE NOT {_VALID} AND event_type <> 'view'")
+def dlq_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event type is a topic, all without a dead-letter topic but view."""
+    records = _payloads(spark, sf_dir).withColumn("topic", F.col("event_type"))
+    schemas = records.select("topic").distinct().withColumn("schema", F.create_map(F.lit("k"), F.lit("integer")))
+    known = schemas.select(F.col("topic").alias("name")).unionByName(spark.sql("SELECT 'view.dlq' AS name"))
+    return produce.missing_dlq_topics(produce.route(produce.validate(records, schemas)), known)
+
+
+_LISTS = """, lists AS (SELECT topic, string_agg(partition || ':' || leader_id || ':' || array_to_string(isr, '/'), ',' ORDER BY partition) AS partitions FROM parts GROUP BY topic)"""
 
 
 def _told(column: str) -> F.Column:
@@ -372,91 +430,140 @@ def _told(column: str) -> F.Column:
     return F.array_join(F.transform(column, one), ",")
 
 
-@query("SELECT * FROM (VALUES ('events', '0:1:1/2/3,1:2:1/2/3,2:3:1/2/3', 3576), ('orders', NULL, 3576)) v(name, partitions, operations)")
-def metadata_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = catalog.metadata(spark.sql("SELECT * FROM VALUES ('orders'), ('events'), ('nothing') AS r(name)"), _topics(spark), _partitions(spark))
-    return out.select("name", _told("partitions").alias("partitions"), "operations")
+_WANTED = ", wanted AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'none-' || c_custkey ELSE name END AS name FROM cust WHERE c_custkey % 3 = 0)"
 
 
-@query("SELECT * FROM (VALUES ('__internal'), ('events'), ('orders'), ('zebra')) v(name)")
-def topic_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.list_topics(_topics(spark)).select("name")
+def _wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that every third customer asks for; those of every 21st do not exist, many are asked for twice."""
+    marked = F.when(F.col("c_custkey") % 11 == 0, "__").otherwise("")
+    name = F.concat(marked, F.lit("topic-"), "c_nationkey", F.lit("-"), "c_mktsegment")
+    return _table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.when(F.col("c_custkey") % 7 == 0, F.concat(F.lit("none-"), "c_custkey")).otherwise(name).alias("name"))
 
 
-_DIRS = "('orders-0'), ('orders-3'), ('my-topic-1'), ('broker-1'), ('broker-2'), ('__cluster_metadata-0'), ('nohyphen'), ('x-y')"
+@query(_CATALOG + _LISTS + _WANTED + f"""SELECT w.name, CASE WHEN t.name IS NULL THEN 3 ELSE 0 END AS error, coalesce(topic_id, '{catalog.ZERO_UUID}') AS topic_id, coalesce(is_internal, false) AS is_internal,
+partitions FROM wanted w LEFT JOIN topics t USING (name) LEFT JOIN lists l ON l.topic = w.name""")
+def describe_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = catalog.describe_topics(_wanted(spark, sf_dir), *_catalog(spark, sf_dir))
+    return out.select("name", "error", "topic_id", "is_internal", _told("partitions").alias("partitions"))
 
 
-@query(f"""WITH d AS (SELECT n, regexp_extract(n, '^(.+)-([0-9]+)$', 1) AS t, try_cast(regexp_extract(n, '^(.+)-([0-9]+)$', 2) AS INTEGER) AS p FROM (VALUES {_DIRS}) d(n)
-WHERE regexp_full_match(n, '.+-[0-9]+') AND NOT starts_with(n, 'broker-') AND NOT starts_with(n, '__')), e AS (SELECT t, unnest(range(max(p) + 1)) AS p FROM d GROUP BY t)
-SELECT e.t AS topic, CASE e.t WHEN 'orders' THEN '11111111-2222-3333-4444-555555555555' ELSE {_UUID.format('e.t')} END AS topic_id, CAST(e.p AS INTEGER) AS partition, d.n IS NOT NULL AS on_disk FROM e LEFT JOIN d ON d.t = e.t AND d.p = e.p""")
-def topic_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = storage.cluster_topics(spark.sql("SELECT * FROM VALUES ('orders', 'old', 1), ('orders', '11111111-2222-3333-4444-555555555555', 2) AS i(name, topic_id, position)"))
-    return storage.recover_catalog(spark.sql(f"SELECT * FROM VALUES {_DIRS} AS d(name)"), ids)
+@query(_CATALOG + _LISTS + _WANTED + """, d AS (SELECT DISTINCT name FROM wanted)
+SELECT name, partitions, CASE WHEN t.name IS NULL THEN 0 ELSE 3576 END AS operations, CASE WHEN t.name IS NULL THEN 3 ELSE 0 END AS error FROM d LEFT JOIN topics t USING (name) LEFT JOIN lists ON topic = name""")
+def metadata_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = catalog.metadata(_wanted(spark, sf_dir).distinct(), *_catalog(spark, sf_dir), unknown=True)
+    return out.select("name", _told("partitions").alias("partitions"), "operations", "error")
+
+
+@query(_CATALOG + _LISTS + """SELECT name, partitions FROM topics LEFT JOIN lists ON topic = name WHERE name > 'topic-2' ORDER BY name LIMIT 20""")
+def describe_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty topics behind a cursor, as a page of the description."""
+    topics, partitions = _catalog(spark, sf_dir)
+    out, _ = catalog.describe_page(topics.select("name"), topics, partitions, 20, "topic-2")
+    return out.select("name", _told("partitions").alias("partitions"))
+
+
+@query(_CATALOG + "SELECT name FROM topics WHERE starts_with(name, 'topic-1')")
+def topic_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.list_topics(_catalog(spark, sf_dir)[0], "topic-1").select("name")
 
 
-@query(f"SELECT {_UUID.format('n')} AS topic_id, CASE WHEN n <> 'none' THEN n END AS name, CASE WHEN n = 'none' THEN 100 ELSE 0 END AS error FROM (VALUES ('events'), ('zebra'), ('none')) t(n)")
+@query(_CATALOG + _WANTED + f"""SELECT {_UUID.format("w.name")} AS topic_id, t.name, CASE WHEN t.name IS NULL THEN 100 ELSE 0 END AS error FROM wanted w LEFT JOIN topics t USING (name)""")
 def topic_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.sql("SELECT * FROM VALUES ('events'), ('zebra'), ('none') AS t(n)").select(names.name_uuid(F.col("n")).alias("topic_id"))
-    return catalog.topic_by_id(wanted, _topics(spark))
+    return catalog.topic_by_id(_wanted(spark, sf_dir).select(names.name_uuid(F.col("name")).alias("topic_id")), _catalog(spark, sf_dir)[0])
 
 
-@query("SELECT * FROM (VALUES (1, 'a2', 9001), (3, 'c', 9003)) v(broker_id, host, port)")
+@query("""SELECT s_nationkey AS broker_id, arg_max(s_name, s_suppkey) AS host, CAST(arg_max(9000 + s_suppkey % 100, s_suppkey) AS INTEGER) AS port FROM supplier GROUP BY 1""")
 def broker_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.brokers_now(spark.sql("SELECT * FROM VALUES (3, 'c', 9003, 2), (1, 'a', 9001, 1), (1, 'a2', 9001, 3) AS b(broker_id, host, port, seq)"))
+    return catalog.brokers_now(_registrations(spark, sf_dir))
+
+
+def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as brokers that register one after another under their nation's number."""
+    return _table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("broker_id"), F.col("s_name").alias("host"), F.expr("int(9000 + s_suppkey % 100)").alias("port"), F.col("s_suppkey").alias("seq")
+    )
 
 
-@query("SELECT * FROM (VALUES (0, 3, 'c', 9003), (0, 1, 'localhost', 9092)) v(error, node_id, host, port)")
+@query("""WITH b AS (SELECT s_nationkey AS id, arg_max(s_name, s_suppkey) AS host, CAST(arg_max(9000 + s_suppkey % 100, s_suppkey) AS INTEGER) AS port FROM supplier GROUP BY 1),
+r AS (SELECT unnest([3, 12, 77]) AS id) SELECT 0 AS error, CASE WHEN b.id IS NULL THEN 1 ELSE b.id END AS node_id, coalesce(host, 'localhost') AS host, coalesce(port, 9092) AS port FROM r LEFT JOIN b USING (id)""")
 def find_coordinator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    brokers = spark.sql("SELECT * FROM VALUES (3, 'c', 9003), (1, 'a', 9001) AS b(broker_id, host, port)")
-    return catalog.find_coordinator(brokers, 3).unionByName(catalog.find_coordinator(brokers, 8))
+    brokers = catalog.brokers_now(_registrations(spark, sf_dir))
+    answers = [catalog.find_coordinator(brokers, i) for i in (3, 12, 77)]
+    return answers[0].unionByName(answers[1]).unionByName(answers[2])
+
+
+# Group members of the orders: each member's first order says which protocols it supports, three in turned order, or the first two of them.
+_MEMBERS = """
+WITH m AS (SELECT 'g' || (o_custkey % 50) AS grp, 'm' || (o_orderkey % 9) AS member, min(o_orderkey) AS o FROM orders GROUP BY 1, 2),
+p AS (SELECT grp, member, o, CASE o % 3 WHEN 0 THEN ['range', 'sticky', 'round'] WHEN 1 THEN ['sticky', 'round', 'range'] ELSE ['round', 'range', 'sticky'] END AS every FROM m),
+members AS (SELECT grp, member, CASE WHEN o % 4 = 0 THEN every[1:2] ELSE every END AS protocols FROM p),
+leaders AS (SELECT 'g' || (o_custkey % 50) AS grp, 'm' || max(o_orderkey) % 13 AS leader FROM orders GROUP BY 1)
+"""
 
 
-_MEMBERS = "('g', 'b', array('x', 'range', 'sticky')), ('g', 'a', array('sticky', 'range')), ('g', 'c', array('range', 'sticky', 'x')), ('h', 'z', array('x')), ('h', 'y', array('w')), ('i', 'q', array('only'))"
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders")
+    first = orders.groupBy(F.expr("concat('g', o_custkey % 50)").alias("group"), F.expr("concat('m', o_orderkey % 9)").alias("member")).agg(F.min("o_orderkey").alias("o"))
+    every = F.expr("CASE o % 3 WHEN 0 THEN array('range', 'sticky', 'round') WHEN 1 THEN array('sticky', 'round', 'range') ELSE array('round', 'range', 'sticky') END")
+    return first.select("group", "member", F.when(F.col("o") % 4 == 0, F.slice(every, 1, 2)).otherwise(every).alias("protocols"))
 
 
-@query("SELECT * FROM (VALUES ('g', 'sticky', 'b'), ('h', '', 'y'), ('i', 'only', 'q')) v(\"group\", protocol, leader)")
+@query(_MEMBERS + """, f AS (SELECT grp, min(member) AS first, count(*) AS n FROM members GROUP BY grp),
+u AS (SELECT m.grp, m.member, unnest(protocols) AS protocol, unnest(range(len(protocols))) AS place FROM members m),
+k AS (SELECT grp, protocol, count(*) AS k FROM u GROUP BY 1, 2),
+b AS (SELECT f.grp, arg_min(u.protocol, u.place) AS protocol FROM f JOIN k ON k.grp = f.grp AND k.k = f.n JOIN u ON u.grp = f.grp AND u.member = f.first AND u.protocol = k.protocol GROUP BY f.grp)
+SELECT f.grp AS "group", coalesce(b.protocol, '') AS protocol, CASE WHEN EXISTS (SELECT 1 FROM members m WHERE m.grp = f.grp AND m.member = l.leader) THEN l.leader ELSE f.first END AS leader
+FROM f LEFT JOIN b USING (grp) LEFT JOIN leaders l USING (grp)""")
 def protocol_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = spark.sql(f"SELECT * FROM VALUES {_MEMBERS} AS m(group, member, protocols)")
-    leaders = spark.sql("SELECT * FROM VALUES ('g', 'b'), ('h', 'gone') AS l(group, leader)")
+    members = _members(spark, sf_dir)
+    leaders = _table(spark, sf_dir, "orders").groupBy(F.expr("concat('g', o_custkey % 50)").alias("group")).agg(F.expr("concat('m', max(o_orderkey) % 13)").alias("leader"))
     return catalog.choose_protocol(members).join(catalog.choose_leader(members, leaders), "group")
 
 
-@query("SELECT * FROM (VALUES (1, 'events', '0'), (2, 'events', '1')) v(leader_id, topic, partitions)")
-def replica_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replication.replica_work(_partitions(spark), 3)
-    return out.select("leader_id", "topic", F.array_join(F.col("partitions").cast("array<string>"), ",").alias("partitions"))
-
+@query(_MEMBERS + """SELECT o_orderkey AS req_id, 'g' || (o_custkey % 60) AS "group", 'm' || (o_orderkey % 11) AS member,
+CASE WHEN o_custkey % 60 NOT IN (SELECT CAST(substr(grp, 2) AS BIGINT) FROM members) THEN 15 WHEN m.member IS NULL THEN 25 WHEN o_orderkey % 3 <> o_custkey % 60 % 3 THEN 22 ELSE 0 END AS error
+FROM orders LEFT JOIN members m ON m.grp = 'g' || (o_custkey % 60) AND m.member = 'm' || (o_orderkey % 11)""")
+def offset_commit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commit for every order; groups from 50 on do not exist, a group's generation is its number modulo 3."""
+    requests = _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("req_id"), F.expr("concat('g', o_custkey % 60)").alias("group"), F.expr("concat('m', o_orderkey % 11)").alias("member"), F.expr("o_orderkey % 3").alias("generation")
+    )
+    members = _members(spark, sf_dir).withColumn("generation", F.expr("bigint(substring(group, 2)) % 3"))
+    return offsets.commit(requests, members).select("req_id", "group", "member", "error")
 
-@query(_LOG + "SELECT part AS partition, count(*) AS to_copy, min(off) AS first FROM log JOIN (SELECT part, leo FROM state WHERE broker = 4) s USING (part) WHERE off >= leo GROUP BY part")
-def follower_replication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = _log(spark, sf_dir)
-    todo = replication.replicate(log.drop("broker_id"), _state(log), 4)
-    return todo.groupBy("partition").agg(F.count(F.lit(1)).alias("to_copy"), F.min("offset").alias("first"))
 
+_FILE = "CASE event_id % 5 WHEN 0 THEN {0} || '.log' WHEN 1 THEN {0} || '.index' WHEN 2 THEN event_id || '.log' WHEN 3 THEN {0} || '.log.part' ELSE {0} || '.log' END"
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"(0, {k}, '{n}', {a}, {b})" for k, n, a, b in catalog.APIS) + ") v(error, api_key, name, min_version, max_version)")
-def api_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.api_versions(spark)
 
+@query(f"""WITH f AS (SELECT 'events-' || (user_id % 3) AS directory, {_FILE.format("lpad(CAST(event_id AS VARCHAR), 20, '0')")} AS name FROM events)
+SELECT directory, CAST(substr(name, 1, 20) AS BIGINT) AS base_offset, name FROM f WHERE regexp_full_match(name, '[0-9]{{20}}\\.log')""")
+def segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "events").select(F.expr("concat('events-', user_id % 3)").alias("directory"), F.expr(_FILE.format("lpad(string(event_id), 20, '0')")).alias("name"))
+    return storage.list_segments(files)
 
-@query()
-def group_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of events as group events: users join, sync, beat, commit and leave."""
-    kind = F.element_at(F.create_map(*(F.lit(x) for x in ("signup", "join", "purchase", "sync", "view", "heartbeat", "click", "commit", "error", "leave"))), F.col("event_type"))
-    events = _log(spark, sf_dir).select(
-        F.col("event_id").alias("seq"), "ts_ms", F.concat(F.lit("g"), (F.col("user_id") % 20).cast("string")).alias("group"), F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("member"),
-        kind.alias("event"), F.expr("int(event_id div 400)").alias("generation"), F.lit(7_200_000).alias("session_ms"), F.array(F.lit("range"), F.lit("sticky")).alias("protocols"),
-        F.lit('{"m0": "0", "m1": "1"}').alias("payload"),
-    )
-    return groups.replay(events)
 
+@query(_CATALOG + f""", d AS (SELECT topic || '-' || partition AS n FROM parts WHERE (n + partition) % 3 <> 0 UNION SELECT 'broker-' || s_suppkey FROM supplier UNION SELECT s_name FROM supplier),
+x AS (SELECT regexp_extract(n, '^(.+)-([0-9]+)$', 1) AS t, CAST(regexp_extract(n, '^(.+)-([0-9]+)$', 2) AS INTEGER) AS p FROM d WHERE regexp_full_match(n, '.+-[0-9]+') AND NOT starts_with(n, 'broker-') AND NOT starts_with(n, '__')),
+e AS (SELECT t, unnest(range(max(p) + 1)) AS p FROM x GROUP BY t),
+i AS (SELECT name, arg_max(CAST(c_custkey AS VARCHAR), c_custkey) AS id FROM cust WHERE c_custkey % 2 = 0 GROUP BY name)
+SELECT e.t AS topic, coalesce(i.id, {_UUID.format('e.t')}) AS topic_id, CAST(e.p AS INTEGER) AS partition, x.t IS NOT NULL AS on_disk, CASE WHEN x.t IS NULL THEN 0 ELSE 1 END AS present
+FROM e LEFT JOIN x ON x.t = e.t AND x.p = e.p LEFT JOIN i ON i.name = e.t""")
+def topic_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of two thirds of the partitions next to brokers' and others'; even customers register ids of their topics."""
+    _, partitions = _catalog(spark, sf_dir)
+    supplier, customer = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "customer")
+    folders = partitions.filter("(n + partition) % 3 <> 0").select(F.concat("topic", F.lit("-"), "partition").alias("name"))
+    folders = folders.unionByName(supplier.select(F.concat(F.lit("broker-"), "s_suppkey").alias("name"))).unionByName(supplier.select(F.col("s_name").alias("name")))
+    marked = F.when(F.col("c_custkey") % 11 == 0, "__").otherwise("")
+    ids = customer.filter("c_custkey % 2 = 0").select(
+        F.concat(marked, F.lit("topic-"), "c_nationkey", F.lit("-"), "c_mktsegment").alias("name"), F.col("c_custkey").cast("string").alias("topic_id"), F.col("c_custkey").alias("position")
+    )
+    found = storage.recover_catalog(folders, storage.cluster_topics(ids))
+    return found.withColumn("present", F.col("on_disk").cast("int"))
 
-@query(_LOG + "SELECT part AS partition, off // 100 AS batch, count(*) FILTER (strlen(val) > 0) AS n_values, CAST(sum(strlen(val)) AS BIGINT) AS value_bytes FROM log GROUP BY 1, 2")
-def batch_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records encoded in batches of a hundred, and decoded again."""
-    log = _log(spark, sf_dir).withColumn("batch", F.expr("offset div 100"))
 
-    values = log.groupBy("partition", "batch").agg(F.sort_array(F.collect_list(F.struct("offset", "value"))).alias("rows"))
-    values = values.select("partition", "batch", F.transform("rows", lambda r: r["value"].cast("binary")).alias("records"))
-    found = batches.decode_values(batches.encode_values(values, "records", "data"), "data", "found")
-    return found.select("partition", "batch", F.size("found").cast("long").alias("n_values"), F.aggregate("found", F.lit(0).cast("long"), lambda s, v: s + F.octet_length(v)).alias("value_bytes"))
+@query("""SELECT * FROM (VALUES (0, 0, 'Produce', 0, 11), (0, 1, 'Fetch', 0, 16), (0, 2, 'ListOffsets', 0, 1), (0, 3, 'Metadata', 0, 12), (0, 8, 'OffsetCommit', 0, 2), (0, 9, 'OffsetFetch', 0, 1),
+(0, 10, 'FindCoordinator', 0, 0), (0, 11, 'JoinGroup', 0, 0), (0, 12, 'Heartbeat', 0, 0), (0, 13, 'LeaveGroup', 0, 0), (0, 14, 'SyncGroup', 0, 0), (0, 18, 'ApiVersions', 0, 4),
+(0, 75, 'DescribeTopicPartitions', 0, 0)) v(error, api_key, name, min_version, max_version)""")
+def api_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.api_versions(spark)

@@ -17,6 +17,20 @@ def test_offsets_are_dense_whatever_the_ranges(spark):
     assert logview.assign_offsets(df.limit(0), ["p"], "n").columns == ["p", "n", "offset"]
 
 
+@pytest.mark.parametrize("buckets", [None, 2, 9])
+def test_offsets_keep_rows_without_order_or_key(spark, buckets):
+    df = spark.createDataFrame([("a", 3), ("a", None), (None, 1), ("a", 10**12), (None, None), ("a", 2), (None, 7)], "k string, n long")
+    assert rows(logview.assign_offsets(df, ["k"], "n", buckets), "k", "n", "offset") == sorted(
+        [("a", 2, 0), ("a", 3, 1), ("a", 10**12, 2), ("a", None, 3), (None, 1, 0), (None, 7, 1), (None, None, 2)], key=str
+    )
+
+
+def test_one_outlier_does_not_fill_a_range(spark):
+    df = spark.createDataFrame([(i,) for i in range(4000)] + [(10**15,)], "n long").withColumn("p", F.lit(0))
+    plan = logview.assign_offsets(df, ["p"], "n", 8)
+    assert rows(plan, "n", "offset") == sorted([(i, i) for i in range(4000)] + [(10**15, 4000)], key=str)
+
+
 def test_replay_takes_the_last_write(spark):
     commits = spark.createDataFrame([("g", "t", 0, 1, 100), ("g", "t", 0, 2, 42), ("g", "u", 0, 3, 7)], "group string, topic string, partition int, seq long, offset long")
     assert rows(offsets.replay(commits)) == [("g", "t", 0, 42), ("g", "u", 0, 7)]
@@ -35,7 +49,7 @@ def test_unknown_topic_id_is_its_own_error(spark):
         [(0, 0, "", "id-a", 0), (0, 1, "", "id-x", 0), (0, 2, "a", None, 9), (0, 3, "b", None, 0)], "topic_pos int, part_pos int, topic string, topic_id string, partition int"
     ).withColumns({"fetch_offset": F.lit(0), "epoch": F.lit(-1), "replica_id": F.lit(-1)})
     parts = spark.createDataFrame([("a", 0, 0, 5, 7)], "topic string, partition int, leader_epoch int, hw long, leo long")
-    assert rows(fetch.plan(fetch.resolve_topics(requests, topics), parts), "part_pos", "error") == [(0, 0), (1, 100), (2, 3), (3, 3)]
+    assert rows(fetch.plan(fetch.resolve_topics(requests, topics), parts), "part_pos", "error") == [(0, 0), (1, 100), (2, 3), (3, 100)]
 
 
 def test_budget_cuts_the_crossing_record_and_ranges_do_not_matter(spark):
@@ -47,6 +61,20 @@ def test_budget_cuts_the_crossing_record_and_ranges_do_not_matter(spark):
     assert fetch.ready(records, 400, 0, 9) and not fetch.ready(records, 401, 0, 9) and fetch.ready(records.limit(0), 1, 9, 9)
 
 
+def test_answers_carry_their_records_and_polls_wait(spark):
+    topics = spark.createDataFrame([("a", "id-a")], "name string, topic_id string")
+    parts = spark.createDataFrame([("a", 0, 0, 3, 3)], "topic string, partition int, leader_epoch int, hw long, leo long")
+    log = spark.createDataFrame([("a", 0, o, f"k{o}", f"v{o}", 10) for o in range(3)], "topic string, partition int, offset long, key string, value string, bytes long")
+    requests = spark.createDataFrame([(0, 0, "a", None, 0, 1, -1, -1), (0, 1, "a", None, 7, 0, -1, -1)], "topic_pos int, part_pos int, topic string, topic_id string, partition int, fetch_offset long, epoch int, replica_id int")
+    answer = fetch.with_records(*fetch.fetch(requests, topics, parts, log, 15)).orderBy("part_pos").collect()
+    assert [[(x.offset, x.value, x.returned_bytes) for x in r.records or []] for r in answer] == [[(1, "v1", 10), (2, "v2", 5)], []]
+    now, tries = [0.0], []
+    attempt = lambda: tries.append(1) or fetch.fetch(requests, topics, parts, log.filter(F.col("offset") < len(tries)), 0)
+    sleep = lambda s: now.__setitem__(0, now[0] + s)
+    assert fetch.poll(attempt, 20, 1000, 5, lambda: now[0], sleep)[1].count() == 2 and len(tries) == 3
+    assert fetch.poll(attempt, 10**6, 12, 5, lambda: now[0], sleep)[1].count() == 2 and len(tries) in (7, 8)
+
+
 def state(spark, *replicas):
     return spark.createDataFrame([("t", 0, b, leo, seen) for b, leo, seen in replicas], "topic string, partition int, broker_id int, leo long, last_seen_ms long")
 
@@ -119,6 +147,21 @@ def test_catalog(spark):
     assert catalog.cluster(brokers, 1).first().controller_id == 1
 
 
+def test_pages_offline_replicas_and_whole_metadata(spark):
+    topics, parts = catalog.create_topics(spark.createDataFrame([(n, 1) for n in "abcde"], "name string, partitions int"), [1, 2, 3])
+    asked, after, seen = topics.select("name").unionByName(topics.select("name")), None, []
+    for _ in range(3):
+        page, after = catalog.describe_page(asked, topics, parts, 2, after, alive=[1, 3])
+        seen.append([r.name for r in page.collect()])
+    assert seen == [["a", "b"], ["c", "d"], ["e"]] and after is None
+    assert page.first().partitions[0].offline == [2]
+    got = catalog.metadata(spark.createDataFrame([("a",), ("zz",), ("a",)], "name string"), topics, parts, unknown=True)
+    assert rows(got, "name", "error") == [("a", 0), ("zz", 3)]
+    brokers = spark.createDataFrame([(2, "h", 9), (1, "g", 8)], "broker_id int, host string, port int")
+    whole = catalog.metadata_answer(None, topics, parts, brokers, 1).first()
+    assert [b.broker_id for b in whole.brokers] == [1, 2] and [t.name for t in whole.topics] == list("abcde") and whole.controller_id == 1
+
+
 def test_record_mode_and_registry(spark):
     v = spark.createDataFrame([("t", 0, 0, True), ("t", 0, 0, False), ("t", 0, 1, False)], "topic string, partition int, batch int, valid boolean")
     assert rows(produce.route(v), "batch", "to_log", "to_dlq") == [(0, True, False), (0, True, True), (1, False, True)]

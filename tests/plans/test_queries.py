@@ -14,7 +14,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(SF), reason="no shared tables"
 @pytest.fixture(scope="module")
 def tables():
     c = duckdb.connect()
-    for t in ("events", "orders"):
+    for t in ("events", "orders", "customer", "supplier"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
