@@ -3,7 +3,7 @@
 Digests of the normalised texts go through Misra-Gries summaries (one per task, merged by sum); the at
 most ``k`` merged candidates are counted exactly and, as a table of bounded size, broadcast: their rows
 are settled map-side, however many copies there are. All other digests have at most N / (k + 1) copies
-and take the ordinary shuffle.
+and take the ordinary shuffle: their groups are counted with partial sums and joined back.
 """
 
 from __future__ import annotations
@@ -69,19 +69,16 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     verified = base.join(candidates, "digest", "left_semi").groupBy("digest").agg(*group)
     winners = write_table(verified.filter("group_size > 1"), "winners")
 
-    heavy = base.join(F.broadcast(winners), "digest")
-    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    one = W.partitionBy("digest").orderBy("doc_id")
-    keepers = heavy.filter(is_keeper).withColumn("kept", F.row_number().over(one) == 1)
-    heavy = keepers.unionByName(heavy.filter(~is_keeper).withColumn("kept", F.lit(False)))
-
     light = base.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    whole = W.partitionBy("digest")
-    light = light.select(
-        "digest", "doc_id", F.min("doc_id").over(whole).alias("keep_id"), F.count(F.lit(1)).over(whole).alias("group_size"),
-        (F.row_number().over(one.orderBy(F.col("doc_id").asc_nulls_last())) == 1).alias("kept"),
-    )
-    return heavy.unionByName(light).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    # Counted with partial sums and read again, so that rows of one digest need not meet in one task.
+    groups = write_table(light.groupBy("digest").agg(*group), "digest-groups")
+    joined = base.join(F.broadcast(winners), "digest").unionByName(light.join(groups, "digest"))
+    is_keeper = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    # Rows of the smallest id: one, but for repeated rows and groups of null ids.
+    keepers = joined.filter(is_keeper)
+    several = keepers.filter("group_size > 1").withColumn("kept", F.row_number().over(W.partitionBy("digest").orderBy("doc_id")) == 1)
+    out = several.unionByName(keepers.filter("group_size = 1").withColumn("kept", F.lit(True))).unionByName(joined.filter(~is_keeper).withColumn("kept", F.lit(False)))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 ORACLE = """
