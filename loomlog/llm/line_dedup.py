@@ -1,11 +1,11 @@
 """Repeated runs of lines, found by winnowing over line hashes. DataFrame functions only.
 
 A document is its sequence of non-blank lines (compared without outer white space). Every run of ``window``
-consecutive line hashes has a minimum; the minima are its fingerprints, so two documents that share a run of
-that length share the fingerprint in it. Fingerprints that occur once are dropped by a join with the
-repeated ones; the others are anchors. Around each anchor the match is extended both ways: all runs of
-``window`` lines for which the anchor is the minimum are compared, by a 128-bit hash of their content, with the first
-position of that content in the corpus. What occurs earlier (in a smaller doc_id, or further up in
+consecutive line hashes has a minimum; the positions of the minima are selected and posted with their hash, so two
+documents that share a run of that length share a posted fingerprint in it. Postings of fingerprints that occur once are
+dropped by a join with the repeated ones; the others are anchors. Around each anchor the match is extended both ways: all
+runs of ``window`` lines for which the anchor is the minimum are compared, by a 128-bit hash of their content, with the
+first position of that content in the corpus. What occurs earlier (in a smaller doc_id, or further up in
 the same document) is deleted; overlapping and adjacent runs join into longer ones.
 """
 
@@ -32,19 +32,26 @@ def _hashes(text: Column) -> Column:
     return F.transform(trimmed, lambda x: F.xxhash64(x))
 
 
-def _windows(h: Column, window: int) -> Column:
-    """(start, fp, where, a, b) of each run: its minimum, the minimum's rightmost position, two content hashes."""
+def _postings(h: Column, window: int) -> Column:
+    """(fp, at, runs) of each selected position: a line hash that is the (rightmost) minimum of ``window`` lines around it.
+
+    ``runs`` extend the position both ways: (start, a, b) of all runs of ``window`` lines whose minimum it is, a and b hashing
+    their content.
+    """
     size = F.least(F.size(h), F.lit(window))
+    last = F.size(h) - size
+    least = lambda part: F.size(part) - F.array_position(F.reverse(part), F.array_min(part)).cast("int")
+    places = F.transform(F.sequence(F.lit(0), last), lambda i: i + least(F.slice(h, i + 1, size)))
 
     def run(i: Column) -> Column:
         part = F.slice(h, i + 1, size)
-        least = F.array_min(part)
-        return F.struct(
-            i.alias("start"), least.alias("fp"), (i + size - F.array_position(F.reverse(part), least).cast("int")).alias("at"),
-            F.xxhash64(F.lit(1), part).alias("a"), F.xxhash64(F.lit(2), size, part).alias("b"),
-        )
+        return F.struct(i.alias("start"), F.xxhash64(F.lit(1), part).alias("a"), F.xxhash64(F.lit(2), size, part).alias("b"))
+
+    def posting(at: Column) -> Column:
+        around = F.sequence(F.greatest(F.lit(0), at - size + 1), F.least(at, last))
+        return F.struct(F.element_at(h, at + 1).alias("fp"), at.alias("at"), F.transform(F.filter(around, lambda i: i + least(F.slice(h, i + 1, size)) == at), run).alias("runs"))
 
-    return F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.size(h) - size), run)).otherwise(F.array())
+    return F.when(F.size(h) > 0, F.transform(F.array_distinct(places), posting)).otherwise(F.array())
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,18 +62,16 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row"), _hashes(F.col(text_col)).alias("h")
     )
-    wins = rows.select("doc_id", "row", F.size("h").alias("n"), F.explode(_windows(F.col("h"), window)).alias("w")).select(
-        "doc_id", "row", "n", "w.*"
-    )
-    wins = write_table(wins, "line-windows")
-    # One posting per fingerprint position; those of a position are together, as its runs are consecutive.
-    anchors = wins.groupBy("fp").agg(
-        F.min(F.struct("doc_id", "row", "at")).alias("p"), F.max(F.struct("doc_id", "row", "at")).alias("q")
-    )
-    shared = anchors.filter("p <> q").select("fp")
-    near = wins.join(shared, "fp")
+    posted = rows.select("doc_id", "row", F.size("h").alias("n"), F.explode(_postings(F.col("h"), window)).alias("w"))
+    posted = write_table(posted.select("doc_id", "row", "n", "w.*"), "line-postings")
+    place = F.struct("doc_id", "row", "at")
+    anchors = posted.groupBy("fp").agg(F.min(place).alias("p"), F.max(place).alias("q"))
+    # The aggregates are written before they are joined, so that Spark can split the rows of a hot line over several tasks.
+    shared = write_table(anchors.filter("p <> q").select("fp"), "line-anchors")
+    near = posted.join(shared, "fp").select("doc_id", "row", "n", F.explode("runs").alias("r")).select("doc_id", "row", "n", "r.*")
     first = near.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
-    later = near.join(first.filter("c > 1").drop("c"), ["a", "b"]).filter(
+    first = write_table(first.filter("c > 1").drop("c"), "line-firsts")
+    later = near.join(first, ["a", "b"]).filter(
         (F.col("doc_id") > F.col("first.doc_id")) | ((F.col("row") == F.col("first.row")) & (F.col("start") > F.col("first.start")))
     )
     return later.groupBy("doc_id", "row").agg(
