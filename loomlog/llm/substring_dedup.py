@@ -93,7 +93,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     posted = base.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(find_anchors, f"anchor long, doc_id {kind}")
     posted = write_table(posted, "anchors")
     shared = posted.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    wanted = posted.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = posted.join(write_table(shared, "shared-anchors"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
     wanted = write_table(wanted, "wanted")
     field = spark.sparkContext.broadcast(bit_filter(wanted, "doc_id"))
@@ -140,7 +140,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     runs = packed.join(wanted, "doc_id").select("doc_id", "row", "packed", "anchors")
     runs = write_table(runs.mapInArrow(find_runs, f"r1 long, r2 long, doc_id {kind}, row long, start int, n int"), "runs")
-    placed = runs.join(runs.groupBy("r1", "r2").agg(F.min("doc_id").alias("first")), ["r1", "r2"])
+    firsts = write_table(runs.groupBy("r1", "r2").agg(F.min("doc_id").alias("first")), "first-runs")
+    placed = runs.join(firsts, ["r1", "r2"])
     span = F.struct("row", "start", "n")
     placed = placed.groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("doc_id") > F.col("first"), span)).alias("later"), F.collect_set(F.when(F.col("doc_id") == F.col("first"), span)).alias("lead")
@@ -168,7 +169,10 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     single = packed.join(placed.filter(F.size("lead") > 0), "doc_id").select("doc_id", "row", "packed", "lead")
     single = single.mapInArrow(find_windows, f"h long, c int, doc_id {kind}, row long, start int")
-    first = single.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
+    single = write_table(single, "windows")
+    # Written before it is joined, so that Spark can split the rows of a hot window over several tasks.
+    first = single.groupBy("h", "c").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = write_table(first.filter("first < last").drop("last"), "first-windows")
     apart = single.join(first, ["h", "c"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("row", "start", F.lit(1).alias("n"))).alias("apart"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
