@@ -7,7 +7,8 @@ sources among the output shards: a node draws its left half from its blocks with
 (multivariate hypergeometric, as a chain of exact hypergeometric draws), down to single shards. Each shard
 then takes its quota from the source's permuted blocks, disjointly, and orders its documents by a hash.
 
-The table of blocks has at most MAX_BLOCKS + (number of sources) rows whatever the input's size; only
+A block has BLOCK_DOCS documents or, where these would be more than MAX_BLOCKS blocks, as many more; so the table of blocks has
+at most MAX_BLOCKS + (number of sources) rows whatever the input's size, and no row is left out; only
 documents travel in numbers that grow with it, in one shuffle by (source, block), which splits hot sources.
 """
 
@@ -194,20 +195,26 @@ def mix(
     return joined.select("doc_id", "source", "row", "size", "source_size", "target", taken.alias("taken"), "copies")
 
 
-def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def take(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs`` once per copy, cut to the words taken, with shard and place appended.
 
     Write it with ``partitionBy`` on the shard; rows are ordered by place within each task. Columns of
-    ``docs`` that are called shard_ or place_ are replaced.
+    ``docs`` that are called shard_ or place_ are replaced. Rows that repeat id, text and source are numbered, and each gets the
+    copies of one of the equal rows of ``mixed``, so together they give the words that the mix takes.
     """
-    copies = mixed.select(F.col("doc_id").alias("__ll_id"), F.col("row").alias("__ll_row"), "size", "copies").distinct()
-    copies = copies.select("__ll_id", "__ll_row", F.col("size").alias("__ll_size"), F.explode("copies").alias("__ll_c"))
-    keyed = docs.drop("shard_", "place_").withColumn("__ll_key", F.xxhash64(F.col(text_col)))
-    out = keyed.join(copies, F.col(id_col).eqNullSafe(F.col("__ll_id")) & (F.col("__ll_key") == F.col("__ll_row")))
+    of = lambda *key: {"__ll_a": F.xxhash64(F.lit(1), *key), "__ll_b": F.xxhash64(F.lit(2), *key)}
+    names = [c for c in docs.columns if c not in ("shard_", "place_")]
+    equal = W.partitionBy("__ll_a", "__ll_b")
+    keyed = docs.select(*names).withColumns(of(F.col(id_col), F.xxhash64(F.col(text_col)), F.col(source_col)))
+    keyed = keyed.withColumn("__ll_n", F.row_number().over(equal.orderBy(F.lit(1))))
+    alike = mixed.withColumns(of(F.col("doc_id"), F.col("row"), F.col("source"))).groupBy("__ll_a", "__ll_b", F.col("size").alias("__ll_size"), "copies").agg(F.count(F.lit(1)).alias("__ll_k"))
+    upto = F.sum("__ll_k").over(equal.orderBy(F.size("copies").desc(), "copies").rowsBetween(W.unboundedPreceding, W.currentRow))
+    copies = alike.withColumn("__ll_end", upto).filter(F.size("copies") > 0)
+    mine = (F.col("__ll_n") <= F.col("__ll_end")) & (F.col("__ll_n") > F.col("__ll_end") - F.col("__ll_k"))
+    out = keyed.join(copies, ["__ll_a", "__ll_b"]).filter(mine).withColumn("__ll_c", F.explode("copies"))
     head = F.call_function(
         "regexp_extract", F.col(text_col), F.concat(F.lit(f"^(?:(?:{SPACE})?{WORD}){{"), F.col("__ll_c.words"), F.lit("}+")), F.lit(0)
     )
     text = F.when(F.col("__ll_c.words") >= F.col("__ll_size"), F.col(text_col)).otherwise(head)
-    names = [c for c in docs.columns if c not in ("shard_", "place_")]
     cols = [text.alias(c) if c == text_col else F.col(c) for c in names]
     return out.select(*cols, F.col("__ll_c.shard").alias("shard_"), F.col("__ll_c.place").alias("place_")).sortWithinPartitions("shard_", "place_")
