@@ -33,9 +33,14 @@ GUARD = {
     "card": r"[0-9](?:[\x20-]?[0-9]){15}",
     "phone": r"\+[0-9][\x20().0-9-]",
 }
+#: A value of six characters or more, some of them no letters, that a word for a secret is set to.
+_ASSIGNED = (
+    r"(?<=[:=\x20\"'])(?<=(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']{0,1}\x20{0,2}[:=]\x20{0,2}[\"']{0,1})"
+    r"(?=[A-Za-z]{0,64}[0-9!@#$%^&*_+?-])[^\x20\x09-\x0D\"'<>,;]{6,64}+"
+)
 #: Candidates of the kinds that the votes decide on.
 EXTRA = {
-    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?!@)",
+    "secret": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+(?!@)|" + _ASSIGNED,
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "local_phone": r"(?<![0-9+().-])(?<!\+[0-9]{1,3}[\x20.-]{0,2})\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
@@ -162,7 +167,7 @@ def _score(w: Sequence[float]) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, spans (array of kind, start, end, base, in the order of KINDS and start).
+    """One row per row of ``docs``: doc_id, spans (array of kind, start, end, base, in the order of KINDS and start), row (a hash of the text).
 
     Positions are code points, ends exclusive. Null and empty texts have no spans. Repeated rows get
     equal spans; null ids are ids like any other. Other columns are ignored. Without candidates of the voted kinds there
@@ -197,22 +202,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.coalesce("spans", F.array().cast("array<struct<kind:int,start:bigint,end:bigint>>")),
         lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), (s["kind"] < len(BASE)).alias("base")),
     )
-    return out.select("doc_id", named.alias("spans"))
+    return out.select("doc_id", named.alias("spans"), "row")
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text) of ``find_pii``'s rows."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (text) and n_spans (of all kinds) of ``find_pii``'s rows."""
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
-        "doc_id", *map(count, BASE), F.sha2(said(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans")
-    )
+        "doc_id", *map(count, BASE), F.sha2(said(F.filter("spans", lambda s: s["base"])).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span replaced by <KIND>; of overlapping spans the earlier one, then the longer one.
 
-    ``found`` comes from ``find_pii`` over the same rows; ids are expected to be unique and not null.
+    ``found`` comes from ``find_pii`` over the same rows. Spans belong to an id (which may be null) and a text, so repeated rows are
+    redacted each, and rows come out as often as they go in. Null texts stay null.
     """
     def cover(s: Column, x: Column) -> Column:
         fits = x["start"] >= s["at"]
@@ -222,5 +229,7 @@ def redact(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col:
     order = F.array_sort(F.transform("__ll_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     new = F.aggregate(order, start, cover, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text_col), (s["at"] + 1).cast("int"), F.length(text_col))))
-    joined = docs.join(found.select(F.col("doc_id").alias("__ll_id"), F.col("spans").alias("__ll_spans")), F.col(id_col) == F.col("__ll_id"), "left")
+    known = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("__ll_id"), F.col("row").alias("__ll_row"), F.col("spans").alias("__ll_spans")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__ll_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__ll_row"))
+    joined = docs.join(known, same, "left")
     return joined.select(*[(F.when(F.size("__ll_spans") > 0, new).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)) for c in docs.columns])

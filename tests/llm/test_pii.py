@@ -49,6 +49,30 @@ def test_votes_find_secrets_and_spare_plain_words(spark):
     got = dict(found(spark, rows))
     assert all([s[:3] for s in got[i]] == [("secret", 13, 53)] for i in range(40))
     assert all(got[100 + i] == [] for i in range(40)) and got[201] == []
+    assert [x[:3] for x in got[200]] == [("ssn", 4, 15)]
+
+
+def test_other_kinds_and_short_secrets(spark):
+    rows = [(i, f"{cue}: {value}") for i, (cue, value) in enumerate(
+        [("password", "hunter2secret"), ("pwd", "abc123!x"), ('api_key', '"k3y-93hf7"'), ("IBAN", "DE89 3704 0044 0532 0130 00"), ("call", "555-867-5309"), ("my ssn", "219-09-9999")] * 6
+    )]
+    rows += [(100, "password: required"), (101, "token: see below"), (102, "the secret of 555 ways"), (103, "order 123-45-6789-00")]
+    got = {d: [(k, rows[d][1][a:b]) for k, a, b, _ in spans] for d, spans in found(spark, rows) if d < 36}
+    want = [("secret", "hunter2secret"), ("secret", "abc123!x"), ("secret", "k3y-93hf7"), ("iban", "DE89 3704 0044 0532 0130 00"), ("local_phone", "555-867-5309"), ("ssn", "219-09-9999")]
+    assert all(got[i] == [want[i % 6]] for i in range(36))
+    assert all(spans == [] for d, spans in found(spark, rows) if d >= 100)
+
+
+def test_digest_counts_all_spans(spark):
+    df = spark.createDataFrame([(1, "a@b.cd and 10.0.0.1", 0), (2, None, 0)], "doc_id long, text string, n_spans int")
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_spans) for r in pii.digest_columns(pii.find_pii(df)).collect()} == {1: (1, 1, 2), 2: (0, 0, 0)}
+
+
+def test_redaction_of_null_and_repeated_ids(spark):
+    rows = [(None, "x@y.zz"), (1, "x@y.zz"), (1, "x@y.zz"), (1, "10.0.0.1 x"), (None, None), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.text) for r in pii.redact(df, pii.find_pii(df)).collect()), key=str)
+    assert out == sorted([(None, "<EMAIL>"), (1, "<EMAIL>"), (1, "<EMAIL>"), (1, "<IP> x"), (None, None), (2, "")], key=str)
 
 
 def test_redaction(spark):
