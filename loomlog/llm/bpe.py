@@ -40,6 +40,24 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _check_order(pairs: list[tuple[int, int]], made: list[int], known: list[int]) -> None:
+    """Each merge joins bytes or tokens of earlier merges; only then is an ascending sweep the same as word-by-word encoding."""
+    seen = set(known)
+    for (a, b), new in zip(pairs, made, strict=True):
+        if a not in seen or b not in seen:
+            raise ValueError("a merge uses a token that a later merge makes")
+        seen.add(new)
+
+
+def _check_steps(spec: dict) -> None:
+    """The file asks for no other steps than those that are built here: byte level, without normalisation or a leading space."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        raise ValueError("only byte-level pre-tokenization without normaliser and leading space is supported")
+    if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        raise ValueError("dropout, whole-word lookups and word marks are not supported")
+
+
 class PairIndexBPE:
     """Encoder and decoder of a byte-level BPE vocabulary file (JSON with vocab, merges, added tokens)."""
 
@@ -60,6 +78,8 @@ class PairIndexBPE:
         self.made = [vocab[a + b] for a, b in merges]
         if len(set(self.made)) != len(self.made):
             raise ValueError("a token is made by two merges; applying ranks to a whole partition needs one each")
+        _check_order(self.pairs, self.made, self._byte_ids.tolist())
+        _check_steps(spec)
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in vocab.items()}
         added = spec.get("added_tokens") or []
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -26,6 +27,21 @@ def test_equals_library_on_random_texts(both):
         assert own.decode(got) == lib.decode(ref.ids, skip_special_tokens=False) == text
 
 
+def test_files_that_ask_for_other_steps_are_refused(tmp_path):
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+
+    def load(**change):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        return bpe.PairIndexBPE(str(tmp_path / "t.json"))
+
+    merges = spec["model"]["merges"]
+    assert load().encode("the") == bpe.PairIndexBPE(tokenizer_path()).encode("the")
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"dropout": 0.1}}, {"model": spec["model"] | {"merges": merges[::-1]}}):
+        with pytest.raises(ValueError):
+            load(**change)
+
+
 def test_cache_generations_do_not_change_ids(both, monkeypatch):
     own = bpe.PairIndexBPE(tokenizer_path())
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
