@@ -7,11 +7,11 @@ turns either into derivative records. Identifiers are name-based, so a rerun giv
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 VERSION = "WARC/1.1"
+#: Bytes of a file that are inflated at a time.
+PIECE = 2**20
 SPACE = uuid.UUID("6f1d2c5e-0b7a-5c39-9a41-3f0e7a5d9b10")
 DATE = "2024-01-01T00:00:00Z"
 RESPONSE = "record_id string, target_uri string, date string, http_status int, http_headers string, payload binary, block_digest string, payload_digest string"
@@ -29,12 +31,17 @@ DERIVED = (
     "content_length long, block_digest string, source_payload_digest string, source_block_digest string, source_headers string, content string, record binary"
 )
 
-_HIDDEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+# All tag patterns end at the text's end at the latest and never give back what they have read, so each is one linear scan.
+#: Attributes up to a tag's end; quotes after an equals sign may hold it.
+_ATTRS = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+"""
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)(?=[\s/>]){_ATTRS}(?:>|\Z).*?(?:</\1\s*+>|\Z)", re.S | re.I)
+_BREAK = re.compile(
+    rf"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)(?=[\s/>]){_ATTRS}(?:>|\Z)", re.I
+)
+_TAG = re.compile(rf"<[a-zA-Z/!?]{_ATTRS}(?:>|\Z)")
+_TITLE = re.compile(rf"<title(?=[\s/>]){_ATTRS}>(.*?)(</title|\Z)", re.S | re.I)
+_NAMED = re.compile(rf"<(html|a)(?=\s)({_ATTRS})(?:>|\Z)", re.I)
+_ATTR = re.compile(r"""(?<![^\s/"'])(lang|href)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++))""", re.I)
 _BLANK = re.compile(r"[ \t\r\f\v\xa0]+")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.I)
 
@@ -64,12 +71,50 @@ def to_text(source: str) -> str:
 def described(source: str) -> list[tuple[str, str]]:
     """What the metadata record says about a page: title, language, links in order."""
     seen = _HIDDEN.sub(" ", source)
-    found = []
-    if m := _TITLE.search(seen):
+    found, lang, links = [], None, []
+    if (m := _TITLE.search(seen)) and m[2]:
         found.append(("title", one_line(html.unescape(_TAG.sub("", m[1])))))
-    if m := _LANG.search(seen):
-        found.append(("language", m[1].lower()))
-    return found + [("outlink", one_line(html.unescape(m[1] or m[2] or m[3] or ""))) for m in _LINK.finditer(seen)]
+    for m in _NAMED.finditer(seen):
+        wanted = "lang" if m[1].lower() == "html" else "href"
+        value = next((x[2] or x[3] or x[4] or "" for x in _ATTR.finditer(m[2]) if x[1].lower() == wanted), None)
+        if wanted == "href" and value is not None:
+            links.append(("outlink", one_line(html.unescape(value))))
+        elif wanted == "lang" and value and lang is None:
+            lang = re.match("[A-Za-z-]*", value)[0].lower()
+    return found + ([("language", lang)] if lang else []) + links
+
+
+def decoded_body(headers: str, payload: bytes) -> bytes:
+    """A payload without its transfer and content encodings; as it is where they are unknown or broken."""
+    said = dict((k.strip().lower(), v.strip().lower()) for k, _, v in (x.partition(":") for x in headers.split("\n")))
+    if said.get("transfer-encoding") == "chunked":
+        payload = _unchunked(payload)
+    for coding in reversed([x.strip() for x in said.get("content-encoding", "").split(",") if x.strip()]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = zlib.decompress(payload, 47)
+            elif coding == "deflate":
+                payload = zlib.decompress(payload) if payload[:1] == b"\x78" else zlib.decompress(payload, -15)
+            elif coding != "identity":
+                return payload
+        except zlib.error:
+            return payload
+    return payload
+
+
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked message; the data as they are if they are not chunked."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at, at + 1024)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            return data
+        if size <= 0:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+    return b"".join(out) if out else data
 
 
 def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
@@ -78,24 +123,70 @@ def serialise(headers: list[tuple[str, str | None]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def inflated(data: bytes) -> Iterator[bytes]:
+    """Pieces of a plain or gzipped file, member by member."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            piece = view[at : at + PIECE]
+            try:
+                out = member.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+            if out:
+                yield out
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record of a plain or gzipped WARC file; a cut last record is dropped."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", start)
+    """(headers in lower case, block) of each record of a plain or gzipped WARC file; a cut last record is dropped.
+
+    A gzipped file is inflated piece by piece, so only the record at hand is in memory beside it.
+    """
+    rest, at = b"", 0
+    pieces = inflated(data)
+    more = True
+
+    def fill(wanted: int) -> bool:
+        """Holds ``wanted`` bytes from ``at`` on, if there are so many."""
+        nonlocal rest, at, more
+        parts, held = [rest[at:] if at else rest], len(rest) - at
+        while held < wanted and more:
+            piece = next(pieces, None)
+            more = piece is not None
+            if more:
+                parts.append(piece)
+                held += len(piece)
+        rest, at = (parts[0] if len(parts) == 1 else b"".join(parts)), 0
+        return held >= wanted
+
+    def seek(mark: bytes, start: int) -> int:
+        """Place of a mark from ``at + start`` on, -1 if there is none."""
+        nonlocal rest
+        while (found := rest.find(mark, at + start)) < 0:
+            held = len(rest) - at
+            start = max(start, held - len(mark) + 1)
+            if not fill(held + PIECE) and len(rest) - at <= held:
+                return -1
+        return found - at
+
+    while (start := seek(b"WARC/", 0)) >= 0:
+        end = seek(b"\r\n\r\n", start)
         if end < 0:
             return
         fields: dict[str, str] = {}
-        for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        for line in rest[at + start : at + end].decode("utf-8", "replace").split("\r\n")[1:]:
             k, _, v = line.partition(":")
             fields[k.strip().lower()] = v.strip()
-        size = int(fields.get("content-length", "0") or 0) if fields.get("content-length", "0").isdigit() else 0
-        if end + 4 + size > len(data):
+        size = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else 0
+        if len(rest) - at < end + 4 + size and not fill(end + 4 + size):
             return
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield fields, rest[at + end + 4 : at + end + 4 + size]
+        at += end + 4 + size
 
 
 def http_parts(block: bytes) -> tuple[int | None, str, bytes]:
@@ -121,7 +212,7 @@ def response_record(page: str, url: str | None, body: str | None, date: str = DA
 
 def derivatives(r: dict, warcinfo: str | None = None) -> list[dict]:
     """The metadata and the conversion record of a response, as rows of DERIVED."""
-    raw = r["payload"] or b""
+    raw = decoded_body(r["http_headers"] or "", r["payload"] or b"")
     names = [m[1].decode() for m in (_CHARSET.search((r["http_headers"] or "").encode()), _CHARSET.search(raw[:2048])) if m]
     try:
         source = raw.decode(names[0] if names else "utf-8", "replace")
@@ -171,8 +262,11 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The RESPONSE columns (and page_id, the record's place in its file) of the response records of WARC files."""
-    arrow_limits(spark, 1)
+    """The RESPONSE columns (and page_id, the record's place in its file) of the response records of WARC files.
+
+    A task holds one file as it is stored and the record at hand.
+    """
+    arrow_limits(spark)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,7 +293,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def derive(found: DataFrame, warcinfo: str | None = None) -> DataFrame:
     """page_id and the DERIVED columns: a metadata and a conversion record for every response.
 
-    Empty and null payloads give an empty conversion. Repeated responses give equal derivatives, each of
+    Empty and null payloads give an empty conversion; transfer and content encodings are undone for it. Repeated responses give equal derivatives, each of
     them. Source headers and digests are carried over unchanged; other columns are ignored.
     """
     kind = found.schema["page_id"].dataType.simpleString()

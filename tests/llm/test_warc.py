@@ -1,5 +1,7 @@
 import gzip
 import hashlib
+import time
+import zlib
 from html.parser import HTMLParser
 
 from loomlog.llm import queries, warc
@@ -43,6 +45,44 @@ def test_text_equals_html_parser():
     assert warc.to_text("<script>never closed <p>x") == "" and warc.to_text("a <!-- b") == "a" and warc.to_text("1 < 2 > 1") == "1 < 2 > 1"
 
 
+def test_hostile_and_long_pages_are_read_in_linear_time():
+    began = time.monotonic()
+    for piece in ("<script", "<p", "<a", "<a ", "<p ", "<title>", "<!--", "</", "<a href=", '<a href="', "<p class='", "<html ", "= ", "<script ", "<a x = "):
+        source = piece * 60_000
+        assert isinstance(warc.to_text(source), str) and isinstance(warc.described(source), list)
+    assert warc.to_text("<p>word</p>" * 50_000) == "\n".join(["word"] * 50_000)
+    assert time.monotonic() - began < 30
+
+
+def test_quotes_hold_the_ends_of_tags():
+    assert warc.to_text('a<img alt="x > y">b <i title=\'>\'>c</i>') == "ab c"
+    assert warc.described("<a class='>' HREF = '/x'>1</a><a name=y>2</a><a href=z>3</a>") == [("outlink", "/x"), ("outlink", "z")]
+    assert warc.to_text("it's <b>it's</b> = \"so\"") == "it's it's = \"so\""
+
+
+def test_encodings_are_undone():
+    text = "<p>né</p>".encode()
+    chunked = b"".join(b"%x;e=1\r\n%s\r\n" % (len(x), x) for x in (text[:4], text[4:])) + b"0\r\n\r\n"
+    deflate = zlib.compressobj(wbits=-15)
+    raw = deflate.compress(text) + deflate.flush()
+    for head, body in (
+        ("Content-Encoding: gzip", gzip.compress(text)), ("content-encoding: deflate", zlib.compress(text)), ("Content-Encoding: deflate", raw), ("Transfer-Encoding: chunked", chunked),
+        ("Content-Encoding: br", text), ("Content-Encoding: gzip", text), ("Transfer-Encoding: chunked", text), ("", text),
+    ):
+        r = warc.response_record("1", "http://a/", "") | {"payload": body, "http_headers": head}
+        assert [x["content"] for x in warc.derivatives(r) if x["record_type"] == "conversion"] == ["né"]
+
+
+def test_files_are_read_record_by_record(monkeypatch):
+    blocks = [bytes([i]) * (i * 37 % 4001) + b"WARC/1.1\r\n\r\n" for i in range(120)]
+    records = [warc.serialise([("WARC-Type", "resource"), ("N", str(i))], b) for i, b in enumerate(blocks)]
+    for piece in (7, 1000, 2**20):
+        monkeypatch.setattr(warc, "PIECE", piece)
+        for data in (b"".join(records), b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records))):
+            assert [(h["n"], b) for h, b in warc.parse(data)] == [(str(i), b) for i, b in enumerate(blocks)]
+    assert len(list(warc.parse(gzip.compress(b"".join(records))[:-30]))) < 120
+
+
 def test_derivatives_link_to_their_response(spark):
     rows = [(1, "http://a/", "<p>x</p>", "z"), (1, "http://a/", "<p>x</p>", "z"), (2, None, None, "z"), (None, "u", "", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
