@@ -2,7 +2,7 @@
 
 A word's input is its embedding (or that of unknown words) plus the mean embedding of its byte trigrams. A
 document is cut into overlapping windows, the last one ending with the text; its score is that of its worst
-window. Training is multiple-instance: each epoch picks every document's worst window and learns from
+window. Training is multiple-instance: it picks every document's worst window, again and again, and learns from
 those. It uses at most TRAIN_TOXIC and TRAIN_CLEAN labelled rows, collected by smallest hashed id.
 """
 
@@ -22,9 +22,15 @@ WINDOW, STRIDE = 64, 32
 HIDDEN, EMBED, ATTEND = 8, 16, 8
 #: Bounds of the training sample and of the vocabulary; words of fewer training documents are unknown.
 TRAIN_TOXIC, TRAIN_CLEAN = 900, 1500
+#: Longer texts are not trained on, so a sample has some tens of megabytes at most; they are scored like any other.
+TRAIN_CHARS = 20_000
 VOCABULARY, MIN_DOCUMENTS = 8192, 4
 TRIGRAMS = 8192
 EPOCHS, BATCH, RATE, DECAY = 10, 64, 0.01, 1e-4
+#: Small samples are gone through more often, until so many steps are made; worst windows are picked EPOCHS times anyway.
+LEAST_STEPS = 300
+#: Labels are taken to be wrong this often, and a word's own embedding is left out this often.
+NOISE, DROP = 0.03, 0.1
 #: Words whose inputs a task keeps, and windows that it scores together.
 WORDS_KEPT, WINDOWS = 150_000, 2048
 
@@ -188,7 +194,7 @@ def cut(rows: np.ndarray) -> np.ndarray:
     return rows[np.array(windows(len(rows)))[:, None] + np.arange(WINDOW)]
 
 
-def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOCHS) -> Model:
+def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOCHS, least_steps: int = LEAST_STEPS) -> Model:
     """Fit on whole texts; without both labels the untrained model comes back with a neutral bias."""
     words = [[core(w) for w in t.split()] for t in texts]
     counts = Counter(w for ws in words for w in set(ws))
@@ -202,12 +208,17 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
     docs = [cut(np.array([every[w] for w in ws], dtype=np.int64)) for ws in words]
     usable = [i for i, d in enumerate(docs) if len(d)]
     stacked, bounds = np.concatenate([docs[i] for i in usable]), np.cumsum([0, *(len(docs[i]) for i in usable)])
-    y = np.array([labels[i] for i in usable], dtype=np.float32)
+    y = np.abs(np.array([labels[i] for i in usable], dtype=np.float32) - np.float32(NOISE))
+    if not len(y):
+        return model
+    picks, epochs = epochs, max(epochs, -(-least_steps * BATCH // len(y)))
     rng = np.random.default_rng(seed)
     m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
     for epoch in range(epochs):
-        if epoch:
+        if epoch and epoch * picks // epochs == (epoch - 1) * picks // epochs:
+            pass  # the windows of before
+        elif epoch:
             _, gates = model.inputs(ids_all, tri_all, start_all)
             score = np.concatenate([model.forward(gates, stacked[i : i + WINDOWS]) for i in range(0, len(stacked), WINDOWS)])
             pick = np.array([a + int(np.argmax(score[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
@@ -224,8 +235,9 @@ def train(texts: list[str], labels: list[int], seed: int = 3, epochs: int = EPOC
             size = size_all[live]
             start = np.cumsum(size) - size
             tri = tri_all[np.repeat(start_all[live] - start, size) + np.arange(size.sum())]
-            e, gates = model.inputs(ids_all[live], tri, start)
-            _, g = model.gradients(e, gates, at.reshape(-1, WINDOW), y[chunk], ids_all[live], tri, start)
+            ids = np.where(rng.random(len(live)) < DROP, 0, ids_all[live])
+            e, gates = model.inputs(ids, tri, start)
+            _, g = model.gradients(e, gates, at.reshape(-1, WINDOW), y[chunk], ids, tri, start)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             step += 1
             for k, v in model.p.items():
@@ -281,12 +293,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int]]:
-    """At most TRAIN_TOXIC and TRAIN_CLEAN labelled texts that are not held out, those of smallest hashed ids."""
+    """At most TRAIN_TOXIC and TRAIN_CLEAN labelled texts of up to TRAIN_CHARS that are not held out, those of smallest hashed ids."""
     known = labels.select(F.col("doc_id").alias("__ll_id"), F.col("toxic").cast("int").alias("__ll_y")).filter("__ll_y IN (0, 1)").distinct()
     known = known.filter(~held_out(F.col("__ll_id")))
     parts = [smallest_hashed(known.filter(F.col("__ll_y") == y), "__ll_id", most, 29) for y, most in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # at most TRAIN_TOXIC + TRAIN_CLEAN rows
-    texts = docs.select(F.col(id_col).alias("__ll_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__ll_text"))
+    texts = docs.select(F.col(id_col).alias("__ll_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("__ll_text")).filter(F.length("__ll_text") <= TRAIN_CHARS)
     rows = texts.join(picked, F.col("__ll_doc") == F.col("__ll_id")).select("__ll_id", "__ll_y", "__ll_text").dropDuplicates(["__ll_id", "__ll_y"]).collect()
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     return [r[2] for r in rows], [r[1] for r in rows]

@@ -58,6 +58,61 @@ def test_learns_rare_words_and_scores_whole_texts(spark):
     assert by_id[902].predicted == 1 and by_id[900].score == by_id[901].score
 
 
+def naive(model, text):
+    """The score by the formulas, one window, one step and one word at a time."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    p, H = {k: v.astype(np.float64) for k, v in model.p.items()}, tox.HIDDEN
+    words = [tox.core(w) for w in text.split()]
+
+    def gates(word):
+        tri, _ = tox.trigrams([word])
+        e = p["word"][model.vocabulary.get(word, 0)] + p["tri"][tri].mean(0)
+        return e @ p["wx"] + p["bx"]
+
+    def run(xs, u):
+        h, out = np.zeros(H), []
+        for x in xs:
+            y = h @ u
+            z, r = sig(x[:H] + y[:H]), sig(x[H : 2 * H] + y[H : 2 * H])
+            n = np.tanh(x[2 * H :] + r * y[2 * H :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    worst = -np.inf
+    for start in tox.windows(len(words)):
+        xs = [gates(w) for w in words[start : start + tox.WINDOW]]
+        ahead = run([x[: 3 * H] for x in xs], p["uf"])
+        back = run([x[3 * H :] for x in reversed(xs)], p["ub"])[::-1]
+        h = np.array([np.concatenate(x) for x in zip(ahead, back)])
+        a = np.exp((np.tanh(h @ p["wa"]) @ p["va"])[:, 0])
+        pooled = (a / a.sum()) @ h
+        worst = max(worst, float((pooled @ p["wo"] + p["bo"])[0]))
+    return sig(worst if words else float(p["bo"][0]))
+
+
+def test_scores_equal_a_naive_network():
+    rows = corpus(80)
+    model = tox.train([t for _, t, _ in rows], [y for *_, y in rows], epochs=2, least_steps=4)
+    texts = [t for _, t, _ in rows[:20]] + ["", "one", "NASTY!! vile??", " ".join(f"w{i % 300}" for i in range(500))]
+    assert np.allclose(tox.Scorer(model).score(texts), [naive(model, t) for t in texts], atol=1e-4)
+
+
+def test_small_samples_are_trained_until_they_are_learned():
+    rows = corpus(60)
+    model = tox.train([t for _, t, _ in rows], [y for *_, y in rows])
+    got = tox.Scorer(model).score([t for _, t, _ in rows]) >= 0.5
+    assert np.mean(got == np.array([y for *_, y in rows], dtype=bool)) >= 0.95
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(tox, "TRAIN_CHARS", 50)
+    docs = spark.createDataFrame([(i, "w " * i) for i in range(1, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 60)], "doc_id long, toxic int")
+    texts, _ = tox.sample(docs, labels)
+    assert texts and max(map(len, texts)) <= 50
+
+
 def test_degenerate_inputs(spark):
     model = tox.train([], [])
     assert tox.Scorer(model).score(["", "a b"]).shape == (2,)
@@ -68,7 +123,7 @@ def test_degenerate_inputs(spark):
 
 def test_small_word_cache_gives_the_same_scores(monkeypatch):
     rows = corpus(60)
-    model = tox.train([t for _, t, _ in rows], [y for *_, y in rows], epochs=2)
+    model = tox.train([t for _, t, _ in rows], [y for *_, y in rows], epochs=2, least_steps=0)
     texts = [t for _, t, _ in rows]
     want = tox.Scorer(model).score(texts)
     monkeypatch.setattr(tox, "WORDS_KEPT", 5)
