@@ -21,13 +21,15 @@ _own_dirs: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a single machine) a temporary folder is made and set.
+    Only where that is unset and the session runs on a single machine (tests) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     if sc.applicationId not in _own_dirs:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_dirs[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomlog-")
         sc.setCheckpointDir(_own_dirs[sc.applicationId])
     return _own_dirs[sc.applicationId]

@@ -79,6 +79,39 @@ def test_each_stage_equals_brute_force(spark, tables, tmp_path):
             assert sorted((str(r.doc_id), np.frombuffer(r.ids, "<u4").tolist()) for r in docs.collect()) == want
 
 
+def empty(spark, tables, columns="doc_id long, text string, lang string, source string, n_chars long"):
+    return spark.createDataFrame([], columns)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables_and_clashing_columns(spark, tables, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    columns = stage(spark, empty(spark, tables), tables).columns
+    assert stage(spark, empty(spark, tables), tables).collect() == []
+    words = [" ".join(f"word{i * 7 + k}" for k in range(60)) for i in range(3)]
+    rows = [(1, words[0], "en", "a", 0, 5, "x", 1), (1, words[0], "en", "a", 0, 5, "x", 1), (2, words[1], None, None, None, None, None, None), (None, words[2], "en", "a", 1, 1, "y", 2), (3, None, None, "b", 0, 0, "z", 3), (4, "", "en", "b", 0, 0, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept int, spans string, copies int")
+    out = stage(spark, docs, tables)
+    assert out.columns == columns
+    ids = [r.doc_id for r in out.collect()]
+    assert {1, 2} <= set(ids)
+    if name == "jaccard_join":
+        assert sorted(ids, key=str) == [1, 2, 3, 4, None]
+    if name == "bpe":
+        assert len(ids) == len(rows)
+
+
+def test_survivors_of_null_and_repeated_ids(spark, tables):
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join(base[:k] + ["other"] + base[k + 1 :]) for k in (0, 118, 119)]
+    far = [" ".join(f"z{i}" for i in range(80)), " ".join(f"z{i}" for i in range(81))]
+    rows = [(7, near[0]), (5, near[1]), (5, near[2]), (None, " ".join(base)), (None, far[0]), (None, far[1]), (None, far[1]), (9, ""), (9, ""), (10, None)]
+    docs = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, tables).collect()]
+    assert sorted(map(str, (d for d, _ in got))) == ["10", "5", "9", "None"]
+    assert {t for d, t in got if d == 5} < set(near) and {t for d, t in got if d is None} < set(far)
+
+
 def test_run_ends_with_the_last_stage(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and out.count() > 100
