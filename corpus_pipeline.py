@@ -29,7 +29,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the isolation forest. Rows of one doc_id are judged by their own texts."""
+    """Documents that pass the base rules and the isolation forest. Rows of one doc_id are judged by their own texts.
+
+    Null and empty texts fail the base rules and go. Repeated rows all stay or all go; null ids are ids like any other.
+    """
     docs = _documents(docs)
     verdict = quality.quality(docs, table(spark, sf_dir, "labels")).filter("kept")
     kept = verdict.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
@@ -38,27 +41,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated runs of lines; those of which nothing is left go."""
+    """Documents without repeated runs of lines; those of which nothing is left go.
+
+    Texts without lines (null, empty, blank) stay as they are. Rows without an id are not changed; repeated rows are no repeats of
+    each other.
+    """
     out = line_dedup.line_dedup(_documents(docs))
     return _documents(out.filter("n_deleted = 0 OR n_deleted < n_lines"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of links (five-word shingles, similarity 0.8): that of the smallest doc_id."""
+    """One document of each component of links (five-word shingles, similarity 0.8).
+
+    It is the one of the smallest doc_id, of several texts of that id the one of the smallest hash; ids that are null come last.
+    Documents without words are linked with nothing and all stay. Rows that repeat both doc_id and text become one.
+    """
     docs = _documents(docs)
-    rows = jaccard_join.jaccard_components(docs, words=5, percent=80, every=False)  # the links themselves are not used
-    stay = rows.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    rows = jaccard_join.Join(docs, 5, 80, "doc_id", "text").run(False)[0]
+    least = rows.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("least")).select("least.doc_id", "least.t")
+    stay = least.unionByName(rows.filter("root IS NULL").select("doc_id", "t")).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__t"))
+    return docs.join(stay, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is drawn, the last one of a source cut to the words taken."""
+    """The mix: each document as often as it is drawn, the last one of a source cut to the words taken.
+
+    Null sources are one source; documents without words are never drawn. Repeated rows count each, and each can be drawn twice.
+    """
     docs = _documents(docs)
     return _documents(mixing.take(docs, write_table(mixing.mix(docs), "mix")))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32) and the digests of ids and decoded text of every row."""
+    """doc_id, n_tokens, ids (little-endian uint32) and the digests of ids and decoded text of every row.
+
+    A null text counts as empty and has no ids. Repeated rows give equal rows, each of them.
+    """
     coded = bpe.encode_decode(docs, tokenizer_path())
     return coded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
@@ -79,7 +98,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, applied to documents one after another."""
+    """The stages, applied to documents one after another.
+
+    Columns of documents that are missing are null, others do not take part. An empty table gives an empty result.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
