@@ -47,11 +47,14 @@ def _postings(h: Column, window: int) -> Column:
         part = F.slice(h, i + 1, size)
         return F.struct(i.alias("start"), F.xxhash64(F.lit(1), part).alias("a"), F.xxhash64(F.lit(2), size, part).alias("b"))
 
-    def posting(at: Column) -> Column:
-        around = F.sequence(F.greatest(F.lit(0), at - size + 1), F.least(at, last))
-        return F.struct(F.element_at(h, at + 1).alias("fp"), at.alias("at"), F.transform(F.filter(around, lambda i: i + least(F.slice(h, i + 1, size)) == at), run).alias("runs"))
+    def posted(p: Column) -> Column:  # p: the place of each run's minimum
+        def posting(at: Column) -> Column:
+            around = F.sequence(F.greatest(F.lit(0), at - size + 1), F.least(at, last))
+            return F.struct(F.element_at(h, at + 1).alias("fp"), at.alias("at"), F.transform(F.filter(around, lambda i: F.element_at(p, i + 1) == at), run).alias("runs"))
 
-    return F.when(F.size(h) > 0, F.transform(F.array_distinct(places), posting)).otherwise(F.array())
+        return F.transform(F.array_distinct(p), posting)
+
+    return F.when(F.size(h) > 0, F.flatten(F.transform(F.array(places), posted))).otherwise(F.array())  # places are found once
 
 
 def repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
