@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[str, str]] = []
+_written: list[tuple[str, str] | None] = []
 _own_dirs: dict[str, str] = {}
 
 
@@ -48,14 +48,19 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``write_table`` made in this session; returns how many."""
+def written() -> int:
+    """How many tables ``write_table`` has made so far."""
+    return len(_written)
+
+
+def release(spark: SparkSession, first: int = 0, last: int | None = None) -> int:
+    """Delete the tables that ``write_table`` made in this session, or those numbered from ``first`` to before ``last``; returns how many."""
     jvm, sc = spark._jvm, spark.sparkContext
-    mine = [x for x in _written if x[0] == sc.applicationId]
+    mine = [x for x in _written[first:last] if x and x[0] == sc.applicationId]
     for x in mine:
         path = jvm.org.apache.hadoop.fs.Path(x[1])
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        _written.remove(x)
+        _written[_written.index(x)] = None
     return len(mine)
 
 

@@ -69,6 +69,25 @@ def test_five_words_and_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_very_long_texts_and_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BLOCK_SHINGLES", 50_000)
+    base = [f"w{i}" for i in range(40_000)]
+    near = [" ".join(base[:k] + ["x"] + base[k:]) for k in (5, 20_000, 39_999)]
+    rows = [(9, " ".join(base)), *enumerate(near), (20, " ".join(base[:30_000])), (21, " ".join(f"v{i}" for i in range(70_000))), (22, near[0].upper())]
+    assert run(spark, rows) == brute(rows, 4, 85)
+
+
+def test_packed_entries_come_back(monkeypatch):
+    rng = np.random.default_rng(2)
+    for top in (2**15, 2**40):
+        keys, ids = rng.integers(0, 2**48, 500), np.sort(rng.integers(0, top, 500))
+        sizes, spots, marks = rng.integers(0, 2**18, 500), rng.integers(0, 60_000, 500), rng.integers(0, 2**48, 9)
+        rows = list(jj.packed(7, keys, ids, sizes, spots, marks))
+        assert len({r[0] for r in rows}) == len(rows) <= 7
+        k, i, n, s, m = (np.concatenate(x) for x in zip(*(jj.unpacked(*r[1:]) for r in rows)))
+        assert sorted(zip(k, i, n, s)) == sorted(zip(keys, ids, sizes, spots)) and sorted(m) == sorted(marks)
+
+
 def test_prefixes_share_a_key_whenever_sets_are_similar():
     rng = np.random.default_rng(4)
     for _ in range(300):

@@ -44,5 +44,12 @@ def test_run_repeated_inside_its_first_document(spark):
     assert run(spark, rows, 20) == brute(rows, 20)
 
 
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(["x", *words[100:400], "y", *words[59_000:], "z"])), (3, " ".join(words[::-1])), (4, " ".join(words))]
+    got = {d: (n, removed, kept) for d, n, removed, kept in run(spark, rows, 50)}
+    assert [got[d][:2] for d in (1, 2, 3, 4)] == [(60_000, 0), (1303, 1300), (60_000, 0), (60_000, 60_000)] and got[2][2] == "x y z" and got[4][2] == ""
+
+
 def test_empty_table(spark):
     assert run(spark, [], 50) == []
