@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from loomlog.llm.common import table, write_table
+from loomlog.llm.common import release, table, write_table, written
 from loomlog.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -104,5 +104,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
+        first = written()
         docs = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(spark, first, written() - 1)  # what the stage wrote on its way
     return docs
