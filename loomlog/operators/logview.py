@@ -16,7 +16,15 @@ RANGE_ROWS = 2**18
 MAX_RANGES = 1024
 
 
-def _range_of(value: Column, cuts: list[float]) -> Column:
+def quantile_cuts(df: DataFrame, order: str, buckets: int | None = None) -> list[float]:
+    """Ascending numbers that cut ``df`` into ranges of about RANGE_ROWS rows by a column, at most MAX_RANGES, or into ``buckets``."""
+    every = [k / MAX_RANGES for k in range(1, MAX_RANGES)]
+    n, found = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(order).cast("double"), every, 10 * MAX_RANGES)).first()
+    wanted = min(MAX_RANGES, buckets or n // RANGE_ROWS)
+    return sorted({found[round(k * len(found) / wanted) - 1] for k in range(1, wanted)}) if found else []
+
+
+def range_of(value: Column, cuts: list[float]) -> Column:
     """How many of the ascending cuts are at most ``value``, by a binary search written as nested conditions."""
     if not cuts:
         return F.lit(0)
@@ -38,17 +46,13 @@ def assign_offsets(df: DataFrame, keys: list[str], order: str, buckets: int | No
     length is numbered by many tasks, and no outlier empties the others. There is a range for every RANGE_ROWS rows, at most
     MAX_RANGES, or ``buckets`` of them. Null keys are a log like any other; rows without an order come last.
     """
-    every = [k / MAX_RANGES for k in range(1, MAX_RANGES)]
-    n, quantiles = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(order).cast("double"), every, 10 * MAX_RANGES)).first()
-    wanted = min(MAX_RANGES, buckets or n // RANGE_ROWS)
-    found = quantiles or []
-    cuts = sorted({found[round(k * len(found) / wanted) - 1] for k in range(1, wanted)}) if found else []
+    cuts = quantile_cuts(df, order, buckets)
     place = F.col(order).asc_nulls_last()
     if not cuts:
         number = F.row_number().over(W.partitionBy(*keys).orderBy(place)) - 1
         return df.withColumn("offset", (number + (F.lit(0) if start is None else start)).cast("long"))
     last = F.lit(len(cuts) + 1)
-    cut = df.withColumn("range_", F.when(F.col(order).isNull(), last).otherwise(_range_of(F.col(order).cast("double"), cuts)))
+    cut = df.withColumn("range_", F.when(F.col(order).isNull(), last).otherwise(range_of(F.col(order).cast("double"), cuts)))
     before = F.coalesce(F.sum("n_").over(W.partitionBy(*keys).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = cut.groupBy(*keys, "range_").agg(F.count(F.lit(1)).alias("n_"))
     names = {k: f"{k}__of" for k in [*keys, "range_"]}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .logview import quantile_cuts, range_of
+
 LAG_MS = 10_000
 LAG_OFFSETS = 10_000
 FAILURES = 3
@@ -75,16 +77,29 @@ def elect(partitions: DataFrame) -> DataFrame:
     )
 
 
-def failure_streaks(probes: DataFrame, threshold: int = FAILURES) -> DataFrame:
+def failure_streaks(probes: DataFrame, threshold: int = FAILURES, buckets: int | None = None) -> DataFrame:
     """(broker_id, seq, streak, dead, newly_dead, revived) for each probe (broker_id, seq, reachable).
 
-    ``streak`` counts failures in a row. A broker is dead from the threshold on until a probe succeeds.
+    ``streak`` counts failures in a row. A broker is dead from the threshold on until a probe succeeds. A history is cut at
+    quantiles of seq; streaks are counted inside the ranges, and what a range hands to the next one is a running sum over the
+    small table of ranges, so a broker's history of any length is read by many tasks.
     """
-    by_seq = W.partitionBy("broker_id").orderBy("seq")
-    runs = probes.withColumn("run", F.sum(F.col("reachable").cast("int")).over(by_seq.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    streak = F.sum((~F.col("reachable")).cast("int")).over(W.partitionBy("broker_id", "run").orderBy("seq"))
-    out = runs.withColumn("streak", streak.cast("long"))
-    before = F.coalesce(F.lag("streak").over(by_seq), F.lit(0))
+    at = ["broker_id", "range_"]
+    cut = probes.select("broker_id", "seq", "reachable", range_of(F.col("seq").cast("double"), quantile_cuts(probes, "seq", buckets)).alias("range_"))
+    inside = W.partitionBy(*at).orderBy("seq")
+    numbered = cut.withColumn("row_", F.row_number().over(inside))
+    numbered = numbered.withColumn("ok_", F.max(F.when(F.col("reachable"), F.col("row_"))).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    # Failures at each range's end, summed from the last range with a success on.
+    tails = cut.groupBy(*at).agg(F.max(F.when(F.col("reachable"), F.col("seq"))).alias("last_"))
+    tails = cut.join(tails.select(*(F.col(c).alias(f"{c}__of") for c in at), "last_"), (F.col("broker_id") == F.col("broker_id__of")) & (F.col("range_") == F.col("range___of")))
+    tails = tails.groupBy(*at).agg(F.sum((F.col("last_").isNull() | (F.col("seq") > F.col("last_"))).cast("long")).alias("tail_"), F.max(F.col("last_").isNotNull().cast("int")).alias("any_"))
+    by_range = W.partitionBy("broker_id").orderBy("range_")
+    tails = tails.withColumn("run_", F.sum("any_").over(by_range.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    total = F.sum("tail_").over(W.partitionBy("broker_id", "run_").orderBy("range_").rowsBetween(W.unboundedPreceding, W.currentRow))
+    carried = tails.withColumn("total_", total).select(*at, F.coalesce(F.lag("total_").over(by_range), F.lit(0)).alias("carry_"))
+    out = numbered.join(carried, at)
+    out = out.withColumn("streak", (F.col("row_") - F.coalesce("ok_", F.lit(0)) + F.when(F.col("ok_").isNull(), F.col("carry_")).otherwise(0)).cast("long"))
+    before = F.coalesce(F.lag("streak").over(inside), F.col("carry_"))
     return out.select(
         "broker_id", "seq", "streak", (F.col("streak") >= threshold).alias("dead"), (F.col("streak") == threshold).alias("newly_dead"),
         ((F.col("streak") == 0) & (before >= threshold)).alias("revived"),

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +125,19 @@ def test_probes(spark):
     assert rows(replication.dead_brokers(probes, 2)) == [(2,)]
 
 
+@pytest.mark.parametrize("buckets", [None, 2, 5, 40])
+def test_streaks_do_not_depend_on_ranges(spark, buckets):
+    rng = random.Random(3)
+    probes = [(b, i * 3 + b, rng.random() < {1: 0.2, 2: 0.9, 3: 0.0, 4: 1.0}[b]) for b in (1, 2, 3, 4) for i in range(120)]
+    want, streak = [], {}
+    for b, s, up in sorted(probes, key=lambda x: (x[0], x[1])):
+        old = streak.get(b, 0)
+        streak[b] = 0 if up else old + 1
+        want.append((b, s, streak[b], streak[b] >= 3, streak[b] == 3, up and old >= 3))
+    df = spark.createDataFrame(probes, "broker_id int, seq long, reachable boolean").repartition(5)
+    assert rows(replication.failure_streaks(df, 3, buckets)) == sorted(want, key=str)
+
+
 def test_segments_roll_and_are_sought(spark):
     four = spark.createDataFrame([("t", 0, i, 24) for i in range(4)], "topic string, partition int, offset long, bytes long")
     assigned = storage.assign_segments(four, 20)
