@@ -17,6 +17,7 @@ import json
 import os
 import pickle
 import re
+import struct
 import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,6 +27,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..functions import codec
 
+#: Entry of a segment's index: the offset of a batch and its position in the segment.
+INDEX = struct.Struct(">ii")
 #: Rows that a writing task holds before it spills them to its disk.
 SPILL_ROWS = 100_000
 SCHEMA = "topic string, partition int, batch_offset long, record_index int, timestamp_ms long, key binary, value binary"
@@ -78,6 +81,24 @@ def batches_of(file: str, start: int = 0) -> Iterator[tuple[int, codec.Batch]]:
             start += codec.HOP.size + length
 
 
+def index_path(path: str, base: int) -> str:
+    return os.path.join(path, f"{base:020d}.index")
+
+
+def index_position(file: str, target: int) -> int:
+    """Byte position in a segment from which to read for an offset: that of the index's last entry at or before it, else 0."""
+    if not os.path.exists(file):
+        return 0
+    low, high, found = 0, os.path.getsize(file) // INDEX.size, 0
+    with open(file, "rb") as f:
+        while low < high:
+            middle = (low + high) // 2
+            f.seek(middle * INDEX.size)
+            offset, position = INDEX.unpack(f.read(INDEX.size))
+            low, high, found = (middle + 1, high, position) if offset <= target else (low, middle, found)
+    return found
+
+
 def count_from(file: str, at: int = 0) -> tuple[int, int, int]:
     """(whole batches, batches cut at the end, position after the whole ones) from a position on, hopping from header to header."""
     n, size = 0, os.path.getsize(file)
@@ -101,7 +122,7 @@ class Segment(InputPartition):
     last: int | None = None
 
     def rows(self) -> Iterator[tuple]:
-        for _, b in batches_of(self.file):
+        for _, b in batches_of(self.file, index_position(f"{self.file[:-4]}.index", self.first)):
             if self.last is not None and b.base_offset >= self.last:
                 return
             if b.base_offset >= self.first:
@@ -237,7 +258,8 @@ class LogWriter(DataSourceWriter):
             rows.add((r["topic"], r["partition"], r["batch_offset"], r["record_index"] or 0, r["timestamp_ms"] or 0, _raw(r["key"]), _raw(r["value"])))
         files = []
         for (topic, partition), log in itertools.groupby(rows, key=lambda r: r[:2]):
-            folder, offset, out, size = os.path.join(self.root, f"{topic}-{partition}"), self.ends.get(f"{topic}-{partition}", 0), None, 0
+            folder, offset, size = os.path.join(self.root, f"{topic}-{partition}"), self.ends.get(f"{topic}-{partition}", 0), 0
+            out = index = None
             os.makedirs(folder, exist_ok=True)
             try:
                 for own, group in itertools.groupby(log, key=lambda r: r[2]):
@@ -246,15 +268,16 @@ class LogWriter(DataSourceWriter):
                     if self.keep and own > offset:
                         raise ValueError(f"{topic}-{partition} ends at {offset}; a batch at {own} would leave a gap")
                     if out is None or size >= self.limit:
-                        _close(out)
-                        final = segment_path(folder, offset)
-                        files.append((f"{final}.{attempt}.part", final))
-                        out, size = open(files[-1][0], "wb"), 0
+                        _close(out, index)
+                        files += [(f"{final}.{attempt}.part", final) for final in (index_path(folder, offset), segment_path(folder, offset))]
+                        index, out, size = *(open(part, "wb") for part, _ in files[-2:]), 0
+                    if max(offset, size) < 2**31:
+                        index.write(INDEX.pack(offset, size))
                     group = list(group)
                     size += out.write(codec.encode_batch([codec.Record(r[6], r[5], r[4] - group[0][4], i) for i, r in enumerate(group)], offset, group[0][4]))
                     offset += 1
             finally:
-                _close(out)
+                _close(out, index)
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
@@ -268,8 +291,9 @@ class LogWriter(DataSourceWriter):
                 raise RuntimeError("the log has grown since the write began")
         else:
             for _, _, path in partition_dirs(self.root):
-                for base in segment_bases(path):
-                    os.remove(segment_path(path, base))
+                for file in (f(path, base) for base in segment_bases(path) for f in (segment_path, index_path)):
+                    if os.path.exists(file):
+                        os.remove(file)
         for part, final in new:
             os.link(part, final)  # unlike a rename it never replaces a file
             os.remove(part)
@@ -280,12 +304,13 @@ class LogWriter(DataSourceWriter):
                 os.remove(part)
 
 
-def _close(file: BinaryIO | None) -> None:
-    """Closes a file once its bytes are on disk."""
-    if file:
-        file.flush()
-        os.fsync(file.fileno())
-        file.close()
+def _close(*files: BinaryIO | None) -> None:
+    """Closes files once their bytes are on disk."""
+    for file in files:
+        if file:
+            file.flush()
+            os.fsync(file.fileno())
+            file.close()
 
 
 def _raw(value: object) -> bytes | None:

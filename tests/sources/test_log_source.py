@@ -76,6 +76,20 @@ def test_a_write_that_cannot_be_placed_fails_and_leaves_nothing(spark, root, tmp
     assert not [n for n in os.listdir(path / "t-0") if n.endswith(".part")]
 
 
+def test_reads_begin_where_the_index_says(spark, root, tmp_path_factory):
+    path = tmp_path_factory.mktemp("indexed")
+    append(batch(spark, *[b"x" * i for i in range(1, 40)]), path)
+    folder = str(path / "t-0")
+    places = {b.base_offset: at for at, b in log_source.batches_of(log_source.segment_path(folder, 0))}
+    index = log_source.index_path(folder, 0)
+    assert [log_source.index_position(index, t) for t in (0, 1, 17, 38, 99)] == [places[0], places[1], places[17], places[38], places[38]]
+    assert log_source.index_position(index, -1) == 0 == log_source.index_position(index + "none", 7)
+    segment = log_source.Segment("t", 0, log_source.segment_path(folder, 0), 30, 33)
+    assert [r[2] for r in segment.rows()] == [30, 31, 32]
+    os.remove(index)
+    assert [r[2] for r in segment.rows()] == [30, 31, 32]
+
+
 def test_spilled_rows_come_back_in_order():
     rows = log_source._Sorted(3)
     for i in (5, 1, 4, 9, 2, 8, 0, 3):
