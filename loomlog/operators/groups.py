@@ -19,6 +19,7 @@ from ..functions import errors
 MAX_MEMBERS = 256
 REBALANCE_DELAY_MS = 3000
 SESSION_MS = 30_000
+STATE = "state"
 EMPTY, JOINING, AWAITING, STABLE = "Empty", "Joining", "AwaitingSync", "Stable"
 
 EVENTS = "seq long, ts_ms long, group string, member string, event string, generation int, session_ms int, protocols array<string>, payload string"
@@ -224,29 +225,46 @@ class Machine:
         return [self._row(e["seq"], e["ts_ms"], "commit", e["member"], self._known(e), None, e["payload"])]
 
 
-def replay(events: DataFrame, delay_ms: int = REBALANCE_DELAY_MS, until_ms: int | None = None, max_members: int = MAX_MEMBERS) -> DataFrame:
+def replay(events: DataFrame, delay_ms: int = REBALANCE_DELAY_MS, until_ms: int | None = None, max_members: int = MAX_MEMBERS, states: DataFrame | None = None, keep: bool = False) -> DataFrame:
     """The RESULTS rows of group events (see EVENTS), each group's in order of seq.
 
     Tasks stream over sorted events and hold the state of one group. ``until_ms`` lets timers run on after a group's last event.
+    With ``states`` (group, state) groups go on from there; with ``keep`` the rows of event "state" have each group's state in
+    assignment, see ``states_of``.
     """
     names = [x.split(" ")[0] for x in EVENTS.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.split(" ") for x in RESULTS.split(", "))])
 
+    def end(machine: Machine | None) -> list[dict]:
+        if machine is None:
+            return []
+        rows = machine.advance(until_ms) if until_ms is not None else []
+        return rows + ([machine._row(-1, 0, STATE, "", errors.NONE, None, machine.g.dump())] if keep else [])
+
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine: Machine | None = None
         for part in parts:
             rows: list[dict] = []
             for e in part.to_pylist():
                 if machine is None or machine.name != e["group"]:
-                    rows += machine.advance(until_ms) if machine and until_ms is not None else []
-                    machine = Machine(e["group"], None, delay_ms, max_members)
-                rows += machine.apply(e)
+                    rows += end(machine)
+                    machine = Machine(e["group"], Group.load(e["payload"]) if e["event"] == STATE else None, delay_ms, max_members)
+                rows += machine.apply(e) if e["event"] != STATE else []
             yield pa.RecordBatch.from_pylist(rows, schema)
-        if machine and until_ms is not None:
-            yield pa.RecordBatch.from_pylist(machine.advance(until_ms), schema)
+        yield pa.RecordBatch.from_pylist(end(machine), schema)
+
+    events = events.select(*names)
+    if states is not None:  # a state comes before its group's events
+        first = {"group": F.col("group"), "event": F.lit(STATE), "seq": F.lit(-1).cast("long"), "payload": F.col("state")}
+        kinds_ = dict(x.split(" ") for x in EVENTS.split(", "))
+        events = states.select(*(first.get(n, F.lit(None).cast(kinds_[n])).alias(n) for n in names)).unionByName(events)
+    return events.repartition("group").sortWithinPartitions("group", "seq").mapInArrow(fold, RESULTS)
+
 
-    return events.select(*names).repartition("group").sortWithinPartitions("group", "seq").mapInArrow(fold, RESULTS)
+def states_of(results: DataFrame) -> DataFrame:
+    """(group, state) after a replay that keeps them."""
+    return results.filter(F.col("event") == STATE).select("group", F.col("assignment").alias("state"))
 
 
 def committed(results: DataFrame) -> DataFrame:

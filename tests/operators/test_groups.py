@@ -103,3 +103,15 @@ def test_replay_equals_the_machine(spark):
         want = [r for e in events if e["group"] == g for r in m.apply(e)] + m.advance(5000)
         assert [r for r in got if r["group"] == g] == want
     assert G.committed(spark.createDataFrame(got, G.RESULTS)).count() == 2
+
+
+def test_replay_goes_on_from_kept_states(spark):
+    events = [ev(1, 0, "a", "join"), ev(2, 5, "b", "join"), ev(3, 200, "a", "sync", 1, json.dumps({"a": "A", "b": "B"})), ev(4, 210, "b", "sync", 1), ev(5, 300, "b", "leave", 1), ev(6, 400, "a", "heartbeat", 1)]
+    plain = lambda df: sorted(map(str, df.filter("event <> 'state'").collect()))
+    want = plain(G.replay(spark.createDataFrame(events, G.EVENTS), 100))
+    states, got = None, []
+    for e in events:
+        out = G.replay(spark.createDataFrame([e], G.EVENTS), 100, states=states, keep=True)
+        got += plain(out)
+        states = spark.createDataFrame(G.states_of(out).collect(), "group string, state string")
+    assert sorted(got) == want

@@ -24,3 +24,18 @@ def test_groups_and_commits(spark):
     assert [(r.partition, r.offset) for r in e.offset_fetch([("g", "t", 0), ("g", "t", 1)]).orderBy("partition").collect()] == [(0, 42), (1, -1)]
     e, results = e.group(GroupEvent("g", "m", "leave", 9, 1), delay_ms=0)
     assert results.filter("event = 'leave'").first().error == 0
+
+
+def test_watermark_follows_the_in_sync_replicas_and_state_is_written(spark, tmp_path):
+    e = Engine.create(spark, {"t": 1}, ((1, "a", 1), (2, "b", 2)), str(tmp_path))
+    for i in range(3):
+        e, _ = e.produce([ProduceBatch("t", 0, (f'{{"n":{i}}}',))], i)
+    assert e.fetch([FetchPartition(0, 0, "t")])[0].first().hw == 0  # broker 2 is in sync and has fetched nothing
+    e = e.replica_fetched([("t", 0, 2, 2)])
+    response, records = e.fetch([FetchPartition(0, 0, "t")])
+    assert (response.first().hw, records.count()) == (2, 2)
+    assert e.fetch([FetchPartition(0, 0, "t")], replica_id=2)[1].count() == 3
+    e = e.replica_fetched([("t", 0, 2, 3)])
+    assert e.fetch([FetchPartition(0, 0, "t")])[1].count() == 3
+    plan = e.log._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
