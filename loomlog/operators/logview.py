@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bytes of a record batch's header; a record of one batch takes so many besides its value.
 HEADER_BYTES = 61
 #: Rows of a log that one task numbers, and the most ranges that a table is cut into.
-RANGE_ROWS = 2**18
+RANGE_ROWS = 2**14
 MAX_RANGES = 1024
 
 
