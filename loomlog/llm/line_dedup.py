@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_table
+from .common import filter_cells, slot, write_table
 
 #: Lines that a repeated run has at least. A shorter document is one run as a whole.
 WINDOW = 2
@@ -72,6 +72,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     # The aggregates are written before they are joined, so that Spark can split the rows of a hot line over several tasks.
     shared = write_table(anchors.filter("p <> q").select("fp"), "line-anchors")
     near = posted.join(shared, "fp").select("doc_id", "row", "n", F.explode("runs").alias("r")).select("doc_id", "row", "n", "r.*")
+    near = write_table(near, "line-runs")
     first = near.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
     first = write_table(first.filter("c > 1").drop("c"), "line-firsts")
     later = near.join(first, ["a", "b"]).filter(
@@ -93,8 +94,15 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     cuts = repeated_lines(docs, window, id_col, text_col).select(
         F.col("doc_id").alias("__ll_id"), F.col("row").alias("__ll_row"), F.col("cut").alias("__ll_cut")
     )
-    keyed = docs.withColumn("__ll_key", F.xxhash64(F.col(text_col)))
-    joined = keyed.join(cuts, (F.col(id_col) == F.col("__ll_id")) & (F.col("__ll_key") == F.col("__ll_row")), "left")
+    # Only rows that a filter of fixed size takes for rows with deletions are shuffled.
+    cuts = write_table(cuts, "line-cuts")
+    cells = F.broadcast(filter_cells(cuts, "__ll_id").withColumnsRenamed({"cell": "__ll_cell", "bits": "__ll_bits"}))  # at most FILTER_BITS / 64 rows
+    keyed = docs.withColumn("__ll_slot", slot(id_col)).withColumn("__ll_cell", F.expr("int(__ll_slot div 64)")).join(cells, "__ll_cell", "left")
+    told = keyed.withColumn("__ll_told", F.expr("coalesce(shiftright(__ll_bits, int(__ll_slot % 64)) & 1L, 0L) = 1L")).drop("__ll_slot", "__ll_cell", "__ll_bits")
+    mine = told.filter("__ll_told").withColumn("__ll_key", F.xxhash64(F.col(text_col)))
+    mine = mine.join(cuts, (F.col(id_col) == F.col("__ll_id")) & (F.col("__ll_key") == F.col("__ll_row")), "left")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    joined = mine.select(*names, "__ll_cut").unionByName(told.filter("NOT __ll_told").select(*names, F.lit(None).cast("array<int>").alias("__ll_cut")))
     lines = _lines(F.col(text_col))
     solid = F.transform(lines, lambda x: F.regexp_replace(x, _TRIM, "") != "")
     n_lines = F.size(F.filter(solid, lambda x: x)).cast("long")
@@ -105,7 +113,6 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1)), "\n")
     new = F.when(F.col("__ll_cut").isNull(), F.col(text_col)).when(n_lines == cut, F.lit("")).otherwise(kept)
     out = joined.withColumn("__ll_places", F.when(F.col("__ll_cut").isNotNull(), places))
-    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
     return out.select(*[(new.alias(c) if c == text_col else F.col(c)) for c in names], n_lines.alias("n_lines"), cut.alias("n_deleted"))
 
 

@@ -55,4 +55,4 @@ def test_no_python_on_the_main_path(spark, monkeypatch):
     told = lambda x: x._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(module, "write_table", lambda x, name: plans.append(told(x)) or write(x, name))
     plans.append(told(line_dedup(df)))
-    assert len(plans) == 4 and not any("Python" in p or "Arrow" in p for p in plans)
+    assert len(plans) == 6 and not any("Python" in p or "Arrow" in p for p in plans)
