@@ -101,6 +101,13 @@ def filter_cells(values: DataFrame, column: str) -> DataFrame:
     return values.select(slot(column).alias("s")).groupBy(F.expr("int(s div 64)").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, int(s % 64)))").alias("bits"))
 
 
+def told(df: DataFrame, column: str, values: DataFrame, of: str, name: str) -> DataFrame:
+    """``df`` with a boolean ``name``: whether a row's value may be among ``values``. False is certain, true is not."""
+    cells = F.broadcast(filter_cells(values, of).withColumnsRenamed({"cell": "__ll_cell", "bits": "__ll_bits"}))  # at most FILTER_BITS / 64 rows
+    out = df.withColumn("__ll_slot", slot(column)).withColumn("__ll_cell", F.expr("int(__ll_slot div 64)")).join(cells, "__ll_cell", "left")
+    return out.withColumn(name, F.expr("coalesce(shiftright(__ll_bits, int(__ll_slot % 64)) & 1L, 0L) = 1L")).drop("__ll_slot", "__ll_cell", "__ll_bits")
+
+
 def bit_filter(values: DataFrame, column: str) -> np.ndarray:
     """``filter_cells`` as an array, to keep rows without a partner out of a shuffle."""
     field = np.zeros(FILTER_BITS // 64, dtype=np.int64)

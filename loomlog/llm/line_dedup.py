@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_cells, slot, write_table
+from .common import told, write_table
 
 #: Lines that a repeated run has at least. A shorter document is one run as a whole.
 WINDOW = 2
@@ -96,13 +96,11 @@ def line_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", te
     )
     # Only rows that a filter of fixed size takes for rows with deletions are shuffled.
     cuts = write_table(cuts, "line-cuts")
-    cells = F.broadcast(filter_cells(cuts, "__ll_id").withColumnsRenamed({"cell": "__ll_cell", "bits": "__ll_bits"}))  # at most FILTER_BITS / 64 rows
-    keyed = docs.withColumn("__ll_slot", slot(id_col)).withColumn("__ll_cell", F.expr("int(__ll_slot div 64)")).join(cells, "__ll_cell", "left")
-    told = keyed.withColumn("__ll_told", F.expr("coalesce(shiftright(__ll_bits, int(__ll_slot % 64)) & 1L, 0L) = 1L")).drop("__ll_slot", "__ll_cell", "__ll_bits")
-    mine = told.filter("__ll_told").withColumn("__ll_key", F.xxhash64(F.col(text_col)))
+    keyed = told(docs, id_col, cuts, "__ll_id", "__ll_told")
+    mine = keyed.filter("__ll_told").withColumn("__ll_key", F.xxhash64(F.col(text_col)))
     mine = mine.join(cuts, (F.col(id_col) == F.col("__ll_id")) & (F.col("__ll_key") == F.col("__ll_row")), "left")
     names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
-    joined = mine.select(*names, "__ll_cut").unionByName(told.filter("NOT __ll_told").select(*names, F.lit(None).cast("array<int>").alias("__ll_cut")))
+    joined = mine.select(*names, "__ll_cut").unionByName(keyed.filter("NOT __ll_told").select(*names, F.lit(None).cast("array<int>").alias("__ll_cut")))
     lines = _lines(F.col(text_col))
     solid = F.transform(lines, lambda x: F.regexp_replace(x, _TRIM, "") != "")
     n_lines = F.size(F.filter(solid, lambda x: x)).cast("long")
