@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlog.llm import bpe, jaccard_join, line_dedup, mixing, quality
-from loomlog.llm.common import release, table, write_table, written
+from loomlog.llm.common import release, table, told, write_table, written
 from loomlog.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,10 +34,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts fail the base rules and go. Repeated rows all stay or all go; null ids are ids like any other.
     """
     docs = _documents(docs)
-    verdict = quality.quality(docs, table(spark, sf_dir, "labels")).filter("kept")
-    kept = verdict.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__row"))
-    return docs.join(kept, same, "left_semi")
+    verdict = quality.quality(docs, table(spark, sf_dir, "labels")).filter("NOT kept")
+    gone = write_table(verdict.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).distinct(), "rejected")
+    # Only rows that a filter of fixed size takes for rejected ones are shuffled.
+    docs = told(docs, "doc_id", gone, "__id", "__told")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__row"))
+    kept = docs.filter("__told").join(gone, same, "left_anti").unionByName(docs.filter("NOT __told"))
+    return kept.select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
