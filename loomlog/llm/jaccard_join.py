@@ -32,6 +32,9 @@ from .common import arrow_limits, bit_filter, filter_cells, passes, slot, write_
 from .components import components
 from .windows import WordHashes, mixed, rolling
 
+#: Shingles that similar sets share at least in their extended prefixes, if they have as many in common: more than a line has that
+#: many documents begin with, so such a line alone does not make candidates of them.
+SHARED = 24
 #: Shingles in more prefixes are frequent.
 FREQUENT = 32
 #: In a block, shingles of more classes are counted by a matrix product, others pair by pair.
@@ -68,7 +71,7 @@ def signature(s: np.ndarray) -> tuple[int, int]:
 def needed(n: int, percent: int) -> tuple[int, int]:
     """(o, k): shingles that a similar set shares at least, and those of them in both extended prefixes."""
     o = -(-percent * n // 100)
-    return o, min(o, max(2, -(-3 * n // 100)))
+    return o, min(o, max(SHARED, -(-3 * n // 100)))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -86,7 +89,8 @@ def token_classes(x: int, y: int, percent: int) -> int:
     """One less than what similar sets of sizes in bands x and y share at least in their extended prefixes.
 
     The prefix that ends first lies before the other's end, so all of it but the shingles of its set that are not shared
-    is in the other one. The bound falls with the own size and grows with the other's, but for roundings.
+    is in the other one. The bound grows with the other's size, but for roundings, and with the own one up to SHARED shingles;
+    beyond, it falls with that. So it is least at an end of each band.
     """
     def ends(b: int) -> tuple[int, int]:
         low, high = int(BAND**b) - 1, int(BAND ** (b + 1)) + 2
@@ -98,7 +102,7 @@ def token_classes(x: int, y: int, percent: int) -> int:
 
     (low_x, high_x), (low_y, high_y) = ends(x), ends(y)
     always = min(needed(low_x, percent)[1], needed(low_y, percent)[1])
-    return max(2, always, min(least(high_x, low_y), least(high_y, low_x)) - 3) - 1
+    return max(2, always, min(*(least(n, low_y) for n in (low_x, high_x)), *(least(m, low_x) for m in (low_y, high_y))) - 3) - 1
 
 
 def keys_of(s: np.ndarray) -> np.ndarray:
@@ -152,7 +156,7 @@ def shared_least(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     """What similar sets of sizes n and m share at least in their extended prefixes."""
     def of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         o = (percent * x + 99) // 100
-        k = np.minimum(o, np.maximum(2, (3 * x + 99) // 100))
+        k = np.minimum(o, np.maximum(SHARED, (3 * x + 99) // 100))
         return k, k - o
 
     (k, i), (l, j) = of(n), of(m)

@@ -146,3 +146,15 @@ def test_all_links_of_near_copies_are_found(spark, monkeypatch, low):
     assert few.columns == ["doc_id", "n_shingles", "component_id"]
     key = lambda t: sorted(map(str, t.select("doc_id", "n_shingles", "component_id").collect()))
     assert key(few) == key(out)
+
+
+def test_a_common_first_line_makes_no_candidates(spark, monkeypatch):
+    """Short documents that share nothing but a line of 15 words, of sizes as far apart as similar ones may be."""
+    edges, original = [], jj.components
+    monkeypatch.setattr(jj, "FREQUENT", 8)
+    monkeypatch.setattr(jj, "components", lambda e: edges.append(e.count()) or original(e))
+    rng = random.Random(6)
+    line = " ".join(f"h{i}" for i in range(15))
+    rows = [(i, line + "\n" + " ".join(f"w{rng.randrange(10**9)}" for _ in range(rng.randint(60, 90)))) for i in range(600)]
+    out = jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert edges[0] == 0 and all(r.component_id == r.doc_id and r.n_links == 0 for r in out)
