@@ -130,3 +130,27 @@ def test_common_and_copied_junk_is_rejected(spark):
     for junk in (lambda i: "$%*" if i % 8 == 0 else None, lambda i: "$%*" if i % 3 == 0 else None, lambda i: "copied" if i % 3 == 0 else None):
         good, bad = rejected(spark, junk)
         assert good <= 0.02 and bad >= 0.9
+
+
+def test_forests_and_cuts_come_from_all_rows(spark, monkeypatch):
+    """Tables dealt over many tasks give the forest and the cut of all rows at once, and every row widens its range."""
+    monkeypatch.setattr(q, "LEVEL_ROWS", 500)
+    rng = np.random.default_rng(9)
+    n = 9000
+    stats = np.column_stack([rng.integers(60, 300, n), rng.integers(300, 900, n), *(rng.integers(0, 9, n) for _ in range(5))])
+    stats[-1, 1] = 10**7  # one row beyond all others
+    junk = np.arange(n) % 9 == 0
+    names = q.BASE + q.EXTRA
+    rows = spark.createDataFrame([(*map(int, s), bool(j), int(not j)) for s, j in zip(stats, junk)], ", ".join(f"{c} long" for c in names) + ", junk boolean, quality_ int")
+    forests = q.grow(rows, 7)
+    for forest, x in zip(forests, q.features(stats)):
+        want = q.IsolationForest.fit(x[~junk], junk=x[junk])
+        assert all(np.array_equal(getattr(forest, a), getattr(want, a)) for a in ("feature", "cut", "path"))
+    first = forests[0]
+    tops = [first.cut[t][1] for t in range(q.TREES) if first.feature[t][1] == 0]
+    assert max(tops) > 100  # beyond the other rows' word lengths
+    got = q.limits(forests, rows)
+    for k, (scores, keep) in enumerate(zip(q.grades(forests, stats), q.KEEP_GOOD)):
+        least = np.quantile(scores[~junk], keep, method="higher")
+        gain = {c: (scores[junk] > c).mean() + (scores[~junk] <= c).mean() for c in np.unique(scores[scores >= least])}
+        assert np.isclose(gain[got[k]], max(gain.values()))
