@@ -200,16 +200,17 @@ def grow(rows: DataFrame, seed: int) -> list[IsolationForest]:
     names, width = BASE + EXTRA, max(map(len, FEATURES))
     tasks = min(LEVEL_TASKS, 1 + rows.count() // LEVEL_ROWS)
     dealt = write_table(rows.select(*names, "junk").repartition(tasks), "quality-grown")
+    held = pa.schema([*((n, pa.int64()) for n in names), ("junk", pa.bool_())])
     least, most = [f"low{i}" for i in range(width)], [f"high{i}" for i in range(width)]
     keys, columns = ["tree", "node"], ["good", "junk", *least, *most]
 
     def level(part: int, feature: np.ndarray, cut: np.ndarray, depth: int) -> Nodes:
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = features(np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names]))[part]
-                found = nodes_of(feature, cut, depth, x, batch.column("junk").to_numpy(zero_copy_only=False))
-                ends = [np.pad(v, ((0, 0), (0, width - v.shape[1]))).T for v in (found.low, found.high)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (found.tree, found.node, found.good, found.junk, *ends[0], *ends[1])], keys + columns)
+            table = pa.Table.from_batches(batches, held)  # a few MB of numbers; one set of nodes a task, not one a batch
+            x = features(np.column_stack([table.column(n).to_numpy() for n in names]))[part]
+            found = nodes_of(feature, cut, depth, x, table.column("junk").to_numpy())
+            ends = [np.pad(v, ((0, 0), (0, width - v.shape[1]))).T for v in (found.low, found.high)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (found.tree, found.node, found.good, found.junk, *ends[0], *ends[1])], keys + columns)
 
         schema = ", ".join(f"{c} long" for c in (*keys, "good", "junk")) + ", " + ", ".join(f"{c} double" for c in least + most)
         merged = dealt.mapInArrow(task, schema).groupBy(*keys).agg(
