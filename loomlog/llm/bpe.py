@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -26,6 +27,8 @@ from .common import arrow_limits
 _WS = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 _PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
+#: Chunks that are one pre-token of letters only, so that most need not be searched.
+_PLAIN = re.compile(" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 #: Chunks of a cache generation (there are two), and the longest chunk that is kept.
 CACHE_ENTRIES = 250_000
 CACHE_CHARS = 40
@@ -86,6 +89,7 @@ class PairIndexBPE:
             raise ValueError("added tokens with normalisation, stripping or word bounds are not supported")
         self.special = {t["content"]: t["id"] for t in added}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self._token_bytes = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.binary())
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._pretoken = regex.compile(_PRETOKEN)
         self._young: dict[str, bytes] = {}
@@ -100,15 +104,18 @@ class PairIndexBPE:
     @staticmethod
     def _by_rank(ranks: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """The places of each rank other than -1."""
-        ranks, places = ranks[(m := ranks >= 0)], places[m]
-        order = np.argsort(ranks, kind="stable")
-        ranks, places = ranks[order], places[order]
-        if len(ranks):
-            cuts = np.flatnonzero(np.diff(ranks)) + 1
-            yield from zip(ranks[np.append(0, cuts)].tolist(), np.split(places, cuts), strict=True)
-
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """Token ids of each pre-token, all merged at once through the pair occurrence index.
+        m = np.flatnonzero(ranks >= 0)
+        if len(m) == 1:
+            yield int(ranks[m[0]]), places[m]
+        elif len(m):
+            ranks, places = ranks[m], places[m]
+            order = ranks.argsort(kind="stable")
+            ranks, places = ranks[order], places[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            yield from ((int(ranks[a]), places[a:b]) for a, b in itertools.pairwise(cuts))
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Token ids (little-endian uint32) of each pre-token, all merged at once through the pair occurrence index.
 
         Each merge makes a token that no other merge makes, so ranks of new pairs are higher than the rank
         being applied, and one ascending sweep over the active ranks equals word-by-word encoding.
@@ -147,38 +154,50 @@ class PairIndexBPE:
             h = left[i]
             made = np.full(len(i), new)
             before = np.where(h >= 0, sym[h], -1)
-            for s, places in self._by_rank(np.concatenate([self._ranks(before, made), self._ranks(made, sym[k])]), np.concatenate([h, i])):
+            for s, places in self._by_rank(self._ranks(np.concatenate([before, made]), np.concatenate([made, sym[k]])), np.concatenate([h, i])):
                 if s not in where:
                     where[s] = []
                     heapq.heappush(active, s)
                 where[s].append(places)
-        return [(x := sym[e - n : e])[x >= 0] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-
-    def _learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Ids (little-endian uint32) of chunks that the cache lacks; short ones are added to it."""
-        parts = {c: self._pretoken.findall(c) for c in chunks}
-        words = list({w for ws in parts.values() for w in ws})
-        done = dict(zip(words, (x.astype("<u4").tobytes() for x in self.merge([w.encode() for w in words])), strict=True))
-        return {c: done[ws[0]] if len(ws) == 1 else b"".join([done[w] for w in ws]) for c, ws in parts.items()}
-
-    def _lookup(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of all wanted chunks. The cache has two generations; what is met again moves to the young one."""
-        young, old = self._young, self._old
-        found = {c: x for c in wanted if (x := young.get(c) or old.get(c)) is not None}
-        if len(found) < len(wanted):
-            found |= self._learn(c for c in wanted if c not in found)
-        if len(young) > CACHE_ENTRIES:
-            self._old, self._young = young, {}
-        self._young.update(x for x in found.items() if len(x[0]) <= CACHE_CHARS)
-        return found
+        left_over = sym >= 0
+        ids, stops = sym[left_over].astype("<u4").tobytes(), (4 * np.cumsum(left_over)[ends]).tolist()
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _known(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that the cache lacks. What is met again moves to its young generation."""
+        young, old, lacking = self._young, self._old, []
+        for c in wanted.difference(young):
+            if (x := old.get(c)) is None:
+                lacking.append(c)
+            else:
+                young[c] = x
+        return lacking
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Puts all wanted chunks and their pre-tokens into the young generation; returns those too long to stay there.
+
+        A pre-token stands for the same ids as a chunk of the same characters, so both share the cache.
+        """
+        if len(self._young) > CACHE_ENTRIES:
+            self._old, self._young = self._young, {}
+        lacking, plain = self._known(wanted), _PLAIN.fullmatch
+        parts = {c: self._pretoken.findall(c) for c in lacking if not plain(c)}
+        words = self._known({*(c for c in lacking if c not in parts), *(w for ws in parts.values() for w in ws)})
+        young = self._young
+        young.update(zip(words, self.merge([w.encode() for w in words]), strict=True))
+        young.update((c, b"".join([young[w] for w in ws])) for c, ws in parts.items() if len(ws) > 1)
+        return [c for c in {*words, *lacking} if len(c) > CACHE_CHARS]
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self._split.split(t) if self._split and any(s in t for s in self.special) else (t,) for t in texts]
         chunked = [[(None, p) if p in self.special else (_CHUNK.findall(p), p) for p in ps if p] for ps in cut]
-        wanted = {c for ps in chunked for cs, _ in ps if cs for c in cs}
-        get = self._lookup(wanted).__getitem__
-        return [b"".join([self.special[p].to_bytes(4, "little") if cs is None else b"".join(map(get, cs)) for cs, p in ps]) for ps in chunked]
+        passing = self._learn(set().union(*(cs for ps in chunked for cs, _ in ps if cs)))
+        get = self._young.__getitem__
+        out = [b"".join([self.special[p].to_bytes(4, "little") if cs is None else b"".join(map(get, cs)) for cs, p in ps]) for ps in chunked]
+        for c in passing:
+            del self._young[c]
+        return out
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_block([text])[0], "<u4").tolist()
@@ -187,6 +206,22 @@ class PairIndexBPE:
         """Text of the ids, special tokens included; malformed UTF-8 becomes U+FFFD."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
+    def decode_block(self, block: list[bytes]) -> pa.Array:
+        """``decode`` of each text's ids (little-endian uint32), the tokens' bytes taken for all texts at once."""
+        if not block:
+            return pa.array([], pa.string())
+        taken = self._token_bytes.take(pa.array(np.frombuffer(b"".join(block), "<u4")))
+        if taken.null_count:
+            raise KeyError("an id that the vocabulary lacks")
+        starts = np.frombuffer(taken.buffers()[1], np.int32)
+        places = np.cumsum([0, *(len(x) // 4 for x in block)])
+        texts = pa.StringArray.from_buffers(len(block), pa.py_buffer(starts[places] if len(starts) else places.astype(np.int32)), taken.buffers()[2])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # malformed UTF-8
+            return pa.array([self.decode(np.frombuffer(x, "<u4").tolist()) for x in block], pa.string())
+        return texts
+
 
 @lru_cache(maxsize=2)
 def _loaded(path: str) -> PairIndexBPE:
@@ -221,9 +256,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             texts, at = (t or "" for t in batch.column(1).to_pylist()), 0
             for block in blocks(texts):
                 ids = bpe.encode_block(block)
-                decoded = [bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(block)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"]
+                    [batch.column(0).slice(at, len(block)), pa.array(ids, pa.binary()), bpe.decode_block(ids)], ["doc_id", "ids", "decoded"]
                 )
                 at += len(block)
 

@@ -56,3 +56,20 @@ def test_operator_rows(spark, both):
     assert out == {(1, "Hello there"): both[1].encode("Hello there").ids, (None, "a b"): both[1].encode("a b").ids, (2, ""): [], (3, ""): []}
     assert bpe.encode_decode(df, tokenizer_path()).count() == 5
     assert bpe.digest_columns(bpe.encode_decode(df.limit(0), tokenizer_path())).collect() == []
+
+
+def test_blocks_equal_the_library_and_merge_no_pre_token_twice(both, monkeypatch):
+    """Chunks that share pre-tokens across blocks: each is merged once, and a block is decoded at once from its ids."""
+    own, merged = bpe.PairIndexBPE(tokenizer_path()), []
+    merge = own.merge
+    monkeypatch.setattr(own, "merge", lambda words: merged.extend(words) or merge(words))
+    long = "y" * (bpe.CACHE_CHARS + 1)
+    blocks = [["one two", "", "straße déjà ǅ ª × x²", long], ["(one) one, two. two!", " two<|endoftext|>", "日本 \U0001f600", long]]
+    for texts in blocks:
+        ids = own.encode_block(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [both[1].encode(t, add_special_tokens=False).ids for t in texts]
+        assert own.decode_block(ids).to_pylist() == texts
+    assert sorted(w for w in set(merged) if merged.count(w) > 1) == [long.encode()]  # too long to be kept
+    assert long not in own._young and own.decode_block([]).to_pylist() == own.decode_block([b""]).to_pylist()[:0]
+    lone = np.array([own._byte_ids[0x80]], "<u4").tobytes()
+    assert own.decode_block([lone, ids[0]]).to_pylist() == ["�", blocks[1][0]] and own.decode_block([b"", b""]).to_pylist() == ["", ""]
