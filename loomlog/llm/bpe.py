@@ -3,7 +3,7 @@
 Texts fall into chunks (white space and the word after it), chunks into pre-tokens. The pre-tokens that a
 task has not met yet are merged together: each mergeable pair is mapped to all its positions, the active
 ranks are applied in ascending order, and each merge moves the neighbours' occurrences to their new lists.
-Finished chunks stay in a cache of bounded size.
+Finished chunks and pre-tokens stay in a cache of bounded size.
 """
 
 from __future__ import annotations
